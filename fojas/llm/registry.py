@@ -29,8 +29,23 @@ def p1_clean(spark: SparkSession, sf: str) -> DataFrame:
     return without_repeated_lines(docs, "doc_id", "texto", site_of(F.col("fuente_url"))).distinct()
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of objects of which one is among the other's five most similar."""
+    from fojas.llm.similar_vectors import similar_pairs
+
+    return similar_pairs(_table(spark, sf, "normativa"), "pos", "vector").toDF("pos_a", "pos_b")
+
+
+def p2_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar others of every object."""
+    from fojas.llm.similar_vectors import similar_vectors
+
+    found = similar_vectors(_table(spark, sf, "normativa"), "pos", "vector")
+    return found.select("id", "neighbour", F.round("cosine", 4).alias("cosine"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_similar": p2_similar}
 
 
 _SITE = r"nullif(regexp_extract(lower(trim(fuente_url)), '^(?:[a-z][a-z0-9+.\-]*://|//)?(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)', 1), '')"
