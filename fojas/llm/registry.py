@@ -44,8 +44,23 @@ def p2_similar(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", "neighbour", F.round("cosine", 4).alias("cosine"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of records whose runs of three words agree to 0.6 or more."""
+    from fojas.llm.near_duplicates import Near, all_pairs
+
+    return all_pairs(_table(spark, sf, "extracted"), "doc_id", "texto", Near(words=3, threshold=0.6)).toDF("doc_id_a", "doc_id_b")
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Class, group and number of links of every record, on runs of five words and a similarity of 0.8."""
+    from fojas.llm.near_duplicates import near_duplicate_groups
+
+    found = near_duplicate_groups(_table(spark, sf, "extracted"), "doc_id", "texto")
+    return found.select(F.col("id").alias("doc_id"), F.col("class").alias("clase"), F.col("group").alias("grupo"), F.col("links").alias("enlaces"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_similar": p2_similar}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_similar": p2_similar, "p5_found": p5_found, "p5_groups": p5_groups}
 
 
 _SITE = r"nullif(regexp_extract(lower(trim(fuente_url)), '^(?:[a-z][a-z0-9+.\-]*://|//)?(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)', 1), '')"
