@@ -87,19 +87,18 @@ def _blocks(c: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
     return block
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest of each row; of equal scores the earlier column."""
-    if scores.shape[1] > k:
-        at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return np.take_along_axis(ids, at, 1), np.take_along_axis(scores, at, 1)
-    return ids, scores
-
-
 def _scan(q: np.ndarray, known: np.ndarray, base: np.ndarray, p: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, base row, dot) of the pairs that no test gave up; ``known``: each query's k-th best dot so far."""
-    d = p.step
-    limit = np.sqrt(np.maximum(2 - 2 * known, 0))
+    """(query, base row, dot) of the pairs that no test gave up; ``known``: each query's k-th best dot so far.
+
+    The k + 1 rows that are nearest in the first columns (one may be the query itself) are read to the
+    end at once, so that even the first list has a limit to test against.
+    """
+    d, k = p.step, p.k
     part = (q[:, :d] ** 2).sum(1)[:, None] + (base[:, :d] ** 2).sum(1)[None] - 2 * (q[:, :d] @ base[:, :d].T)
+    if len(base) > k + 1:
+        first = np.argpartition(part, k, axis=1)[:, : k + 1]
+        known = np.maximum(known, np.einsum("ij,ikj->ik", q, base[first]).min(axis=1) - 1e-6)
+    limit = np.sqrt(np.maximum(2 - 2 * known, 0))
     a, b = np.nonzero(part * (p.dim / d) <= ((1 + p.strict / math.sqrt(d)) * limit[:, None]) ** 2)
     left = part[a, b]
     while d < p.dim and len(a):
