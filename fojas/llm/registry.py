@@ -59,8 +59,15 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("class").alias("clase"), F.col("group").alias("grupo"), F.col("links").alias("enlaces"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentence units of every document."""
+    from fojas.llm.sentences import sentences
+
+    return sentences(_table(spark, sf, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_similar": p2_similar, "p5_found": p5_found, "p5_groups": p5_groups}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_similar": p2_similar, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found}
 
 
 _SITE = r"nullif(regexp_extract(lower(trim(fuente_url)), '^(?:[a-z][a-z0-9+.\-]*://|//)?(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)', 1), '')"
