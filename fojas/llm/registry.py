@@ -44,6 +44,20 @@ def p2_similar(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", "neighbour", F.round("cosine", 4).alias("cosine"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of texto and titulo with a stretch that a wrong decoding has garbled."""
+    from fojas.llm.garbled_text import garbled_values
+
+    return garbled_values(_table(spark, sf, "extracted"), "doc_id", ["texto", "titulo"]).select("doc_id", "campo").distinct()
+
+
+def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Those values with the original wording wherever it can be recovered."""
+    from fojas.llm.garbled_text import garbled_values
+
+    return garbled_values(_table(spark, sf, "extracted"), "doc_id", ["texto", "titulo"])
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of records whose runs of three words agree to 0.6 or more."""
     from fojas.llm.near_duplicates import Near, all_pairs
@@ -67,7 +81,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_similar": p2_similar, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_similar": p2_similar, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found}
 
 
 _SITE = r"nullif(regexp_extract(lower(trim(fuente_url)), '^(?:[a-z][a-z0-9+.\-]*://|//)?(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)', 1), '')"
