@@ -33,15 +33,18 @@ _ONE_BYTE = (("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1252", "cp850"), ("cp
 _PLAIN = "áéíóúñüÁÉÍÓÚÑÜ°¿¡«»“”‘’—–…·›↑→©€ªº "
 # --- end of fixed values ---
 
-#: What makes a value worth a look.
-ODD = (
-    rf"[^\x00-\x7f{_PLAIN}]"
-    r"|[a-zñáéíóúü][ÁÉÍÓÚÑÜ°¿¡«»·›↑→©€ªº“”‘—–…][a-zñáéíóúü]|[A-Za-zñáéíóúü][¡¿]|[¡¿«»°·º][a-zñáéíóúü]|[a-zñáéíóúü]\?[a-zñáéíóúü]|[b-df-hj-np-tv-z]{2}[ÁÉÍÓÚ]"
+_LOWER = "a-zñáéíóúü"
+#: What makes a value worth a look: any other character, or one of these in an odd place.
+_ODD = re.compile(rf"[^\x00-\x7f{_PLAIN}]")
+_MISPLACED = re.compile(
+    "[ÁÉÍÓÚÑÜ°¿¡«»·›↑→©€ªº“”‘—–…?]"
+    rf"(?:(?<=[{_LOWER}].)(?=[{_LOWER}])|(?<=[A-Za-zñáéíóúü][¡¿])|(?<=[¡¿«»°·º])(?=[{_LOWER}])|(?<=[b-df-hj-np-tv-z]{{2}}[ÁÉÍÓÚ]))"
 )
 _TOKEN = re.compile(r"[^ \t\n\r]*[^\x00-\x7f \t\n\r][^ \t\n\r]*|[^ \t\n\r]*[a-zA-Z]\?[a-zA-Z][^ \t\n\r]*")
 _EDGE = r"^[\x00-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x40\x5b-\x60\x7b-\x7f]+$"
 _EDGES = re.compile(_EDGE)
 _LETTER = re.compile(r"[A-Za-z]")
+_TELLING = re.compile(r"[^\x00-\x7f\u00a0]")
 _INNER_MARK = re.compile(r"(?<=[a-zA-Z])\?(?=[a-zA-Z])")
 
 
@@ -160,7 +163,7 @@ def _decode(text: str, corpus: _Corpus, ways: list, cache: dict) -> tuple[str, l
                 d = read(t)
                 if d is None or any(c.isspace() or not (c.isprintable() or c == "­") for c in d if c != " "):
                     options.append((options[0][0] - 12.0, options[0][1]) if d is not None or not t.isascii() else options[0])
-                elif not _LETTER.search(t):  # a sign on its own tells nothing, but shares its stretch's channel
+                elif not _LETTER.search(t) or not _TELLING.search(t):  # a sign alone or a no-break space tells nothing, but shares its stretch's channel
                     options.append((options[0][0], d))
                 else:
                     options.append(corpus.score(d))
@@ -261,6 +264,8 @@ def garbled_values(docs: DataFrame, id_col: str, text_cols: list[str], p: Channe
         for b in batches:
             out, keep, names = [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
+                if not (_ODD.search(t) or _MISPLACED.search(t)):
+                    continue
                 new, used = _decode(t, corpus, ways, cache)
                 if used:
                     keep.append(i)
@@ -271,5 +276,5 @@ def garbled_values(docs: DataFrame, id_col: str, text_cols: list[str], p: Channe
                 {"id": b.column("id").take(at), "campo": b.column("campo").take(at), "restaurado": pa.array(out, pa.string()), "canales": pa.array(names, pa.list_(pa.string()))}
             )
 
-    found = values.filter(F.col("text").rlike(ODD)).mapInArrow(run, f"id {kind}, campo string, restaurado string, canales array<string>")
+    found = values.mapInArrow(run, f"id {kind}, campo string, restaurado string, canales array<string>")
     return found.dropDuplicates(["id", "campo", "restaurado"]).withColumnRenamed("id", id_col)

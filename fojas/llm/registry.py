@@ -58,6 +58,24 @@ def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
     return garbled_values(_table(spark, sf, "extracted"), "doc_id", ["texto", "titulo"])
 
 
+def _html(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "extracted").select("doc_id", "titulo", "fuente_url", "formato", "texto").filter("formato = 'html'")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of html records that don't belong to the norm itself."""
+    from fojas.llm.main_content import page_furniture
+
+    return page_furniture(_html(spark, sf), "doc_id", "texto", site_of(F.col("fuente_url")), F.col("titulo"), F.col("fuente_url"))
+
+
+def p4_body(spark: SparkSession, sf: str) -> DataFrame:
+    """Every html record with the norm alone."""
+    from fojas.llm.main_content import main_content
+
+    return main_content(_html(spark, sf), "doc_id", "texto", site_of(F.col("fuente_url")), F.col("titulo"), F.col("fuente_url")).distinct()
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of records whose runs of three words agree to 0.6 or more."""
     from fojas.llm.near_duplicates import Near, all_pairs
@@ -81,7 +99,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_similar": p2_similar, "p3_found": p3_found, "p3_restored": p3_restored, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_similar": p2_similar, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_body": p4_body, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found}
 
 
 _SITE = r"nullif(regexp_extract(lower(trim(fuente_url)), '^(?:[a-z][a-z0-9+.\-]*://|//)?(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)', 1), '')"
