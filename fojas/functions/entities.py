@@ -29,11 +29,12 @@ _W = "0-9A-Za-z_áéíóúüñÁÉÍÓÚÜÑ"
 def rule_entities(text: Column, rules: tuple = RULES) -> Column:
     """``label:value`` in lower case of every match, labels in the rules' order, each once; null gives an empty array."""
     t = F.coalesce(text, F.lit(""))
-    parts = [
-        F.transform(F.regexp_extract_all(t, F.lit(rf"(?iu)(?<![{_W}])({p})(?![{_W}])"), F.lit(1)), lambda m, l=label: F.concat(F.lit(l + ":"), F.lower(F.trim(m))))
-        for label, p in rules
-    ]
-    return F.array_distinct(reduce(F.concat, parts))
+
+    def labelled(label: str, pattern: str) -> Column:
+        found = F.regexp_extract_all(t, F.lit(rf"(?iu)(?<![{_W}])({pattern})(?![{_W}])"), F.lit(1))
+        return F.transform(found, lambda m: F.concat(F.lit(label + ":"), F.lower(F.trim(m))))
+
+    return F.array_distinct(reduce(F.concat, [labelled(*r) for r in rules]))
 
 
 def canonical(entities: Column) -> Column:

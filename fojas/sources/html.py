@@ -98,7 +98,7 @@ def page_text(html: str) -> str:
         if n.tag in BLOCKS:
             out.append("\n")
         todo += [c for c in reversed(n.children) if isinstance(c, str) or _kept(c)]
-    lines = (re.sub("[ \t ]+", " ", x).strip() for x in " ".join(out).split("\n"))
+    lines = (re.sub("[ \t\u00a0]+", " ", x).strip() for x in " ".join(out).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
