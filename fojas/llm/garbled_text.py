@@ -166,7 +166,9 @@ def _decode(text: str, corpus: _Corpus, ways: list, cache: dict) -> tuple[str, l
                 elif not _LETTER.search(t) or not _TELLING.search(t):  # a sign alone or a no-break space tells nothing, but shares its stretch's channel
                     options.append((options[0][0], d))
                 else:
-                    options.append(corpus.score(d))
+                    s, filled = corpus.score(d)
+                    # bytes that are no text in the other encoding, and no known word fits them
+                    options.append((options[0][0] - 12.0, options[0][1]) if LOST in filled else (s, filled))
             if len(cache) > 200_000:
                 cache.clear()
             cache[t] = options

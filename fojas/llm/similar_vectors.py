@@ -33,9 +33,11 @@ class Search:
     dim: int = 128
     sample: int = 65_536
     most_lists: int = 4_096
-    lists_per_root: float = 1.25  #: lists = this times the root of the number of vectors
+    lists_per_root: float = 1.25  #: lists = this times the root of the number of vectors,
+    rows_per_list: int = 64  #: but no more than one for so many vectors
     rounds: int = 8
-    near: float = 0.15  #: also probe lists whose squared distance exceeds the nearest one's by this share
+    near: float = 0.15  #: also probe lists whose squared distance exceeds the nearest one's by this share,
+    enough: int = 8  #: and further ones until the lists probed hold this many times k + 1 vectors
     most_probes: int = 16
     block: int = 8_192  #: most vectors of a block; most queries of a task are four times that
     step: int = 32  #: columns read between two tests
@@ -159,15 +161,16 @@ def similar_vectors(vectors: DataFrame, id_col: str, vector_col: str, p: Search
 
     ``id_col`` is an integer key. A vector is usable if it has exactly ``p.dim`` finite numbers, not
     all zero; other rows, null ids and null vectors give no rows and are nobody's neighbour. Of
-    equal cosines (to 7 digits) the lower id comes first. A row repeated under the same id counts
-    once; with fewer than k others all of them are given. Other columns are ignored.
+    equal cosines (to 7 digits) the lower id comes first. Of rows under the same id one
+    counts, the one with the lowest bytes; with fewer than k others all of them are given (lists that hold too few vectors are
+    joined by the next ones, ``p.most_probes`` at most). Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(
         F.col("id").isNotNull() & (F.size("vector") == p.dim)
     )
     n = vectors.count()
-    lists = int(np.clip(p.lists_per_root * math.sqrt(n), 1, p.most_lists))
+    lists = int(np.clip(min(p.lists_per_root * math.sqrt(n), n / p.rows_per_list), 1, p.most_lists))
     size = min(p.sample, 48 * lists)
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.1 * size / max(n, 1)) * (1 << 30)))
     sample = _unit(rows.filter(share).select("vector").limit(size).toArrow().column(0).combine_chunks(), p.dim)[1]
@@ -189,10 +192,15 @@ def similar_vectors(vectors: DataFrame, id_col: str, vector_col: str, p: Search
             ok = dist <= np.maximum(dist[:, :1], 1e-6) * (1 + p.near)
             ok[:, 0] = True
             raw = [x.tobytes() for x in v]
-            probes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(ok.sum(1))).astype(np.int32)), pa.array(few[ok].astype(np.int32)))
-            yield pa.record_batch({"id": b.column("id").take(pa.array(at)), "unit": pa.array(raw, pa.binary()), "home": pa.array(few[:, 0].astype(np.int32)), "probes": probes})
-
-    placed = written(rows.mapInArrow(assign, "id long, unit binary, home int, probes array<int>"), "vectors")
+            probes = pa.ListArray.from_arrays(pa.array((np.arange(len(few) + 1) * most).astype(np.int32)), pa.array(few.astype(np.int32).ravel()))
+            yield pa.record_batch(
+                {"id": b.column("id").take(pa.array(at)), "unit": pa.array(raw, pa.binary()), "home": pa.array(few[:, 0].astype(np.int32)), "probes": probes, "near": pa.array(ok.sum(1).astype(np.int32))}
+            )
+
+    placed = written(rows.mapInArrow(assign, "id long, unit binary, home int, probes array<int>, near int"), "vectors")
+    if placed.count() > placed.select("id").distinct().count():  # repeated ids: the lowest vector stays
+        placed = placed.groupBy("id").agg(F.min(F.struct("unit", "home", "probes", "near")).alias("x")).select("id", "x.*")
+        placed = written(placed, "unique")
     # equal vectors: the lowest id stands for all; the k + 1 lowest ids are all that can be answers
     same = placed.select("id", F.xxhash64("unit").alias("x"), F.xxhash64(F.lit(1), "unit").alias("y")).distinct()
     several = same.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1").select("x", "y", "first")
@@ -213,8 +221,19 @@ def similar_vectors(vectors: DataFrame, id_col: str, vector_col: str, p: Search
         placed.join(layout, placed["home"] == layout["list"])
         .select("block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", "unit", "home", F.lit(None).cast("array<int>").alias("probes"))
     )
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            probes = b.column("probes").flatten().to_numpy().reshape(b.num_rows, -1)
+            width = np.maximum(b.column("near").to_numpy(), 1 + (np.cumsum(counts[probes], axis=1) < p.enough * (p.k + 1)).sum(1))
+            keep = np.arange(probes.shape[1]) < width[:, None]
+            at, nth = np.nonzero(keep)
+            yield pa.record_batch({"id": b.column("id").take(pa.array(at)), "nth": pa.array(nth.astype(np.int32)), "list": pa.array(probes[keep])})
+
     asked = (
-        placed.select("id", "unit", F.posexplode("probes").alias("nth", "list"))
+        placed.select("id", "probes", "near").mapInArrow(choose, "id long, nth int, list int")
         .join(layout, "list")
         .groupBy("id", "block", "parts")
         .agg(F.array_sort(F.collect_list(F.struct("nth", "list"))).alias("probes"))  # at most ``most_probes``
