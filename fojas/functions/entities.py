@@ -12,7 +12,7 @@ RULES = (
     ("moneda", r"bolívar(?:es)?|Bs\.?|USD|dólar(?:es)?|eur(?:os)?|yuan(?:es)?|rublo(?:s)?|lira(?:s)?|yen(?:es)?|velar(?:es)?"),
     ("sistema_de_pago", r"Cámara de Compensación(?: Electrónica)?|sistema de pagos|transferencias?|cheques?"),
     ("tipo_de_norma", r"ley|resolución|circular|convenio cambiario|providencia|aviso oficial|decreto|reglamento|acto administrativo"),
-    ("institucion", r"Banco Central(?: de [A-Z][a-z]+)?|Ministerio|Gaceta Oficial|Directorio"),
+    ("institucion", r"Banco Central(?-i: de [A-ZÁÉÍÓÚ][a-záéíóúñ]+)?|Ministerio|Gaceta Oficial|Directorio"),
     ("indicador_economico", r"INPC|inflación|liquidez monetaria|base monetaria|encaje legal|tipo de cambio|tasa de interés|PIB|reservas internacionales"),
     ("instrumento_financiero", r"título(?:s)? de cobertura|bono(?:s)?|pagaré(?:s)?|letra(?:s)? del tesoro|acción(?:es)?"),
     ("materia_cambiaria", r"mesa de cambio|operador cambiario|casa de cambio|régimen cambiario|mercado cambiario"),
