@@ -75,11 +75,12 @@ def _permutations(p: Near) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _minhash(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The last 16 bits of each MinHash value: two different values agree in them once in 65,536 times."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 2048):
         low = np.minimum(low, (x[i : i + 2048, None] * a + b).min(axis=0))
-    return low
+    return low.astype(np.uint16)
 
 
 def fewest_matches(p: Near) -> list[tuple[int, int]]:
@@ -111,7 +112,7 @@ def _pruned(one: np.ndarray, two: np.ndarray, needed: list[tuple[int, int]]) ->
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, width)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, width)
 
 
 def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, p: Near = Near()) -> tuple[DataFrame, DataFrame]:
@@ -179,8 +180,11 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, p: Near =
         .select(F.col("id").alias("a"), "b")
         .distinct()
     )
+    pairs = written(pairs, "pairs")
     values = heads.select("id", "values")
-    pairs = pairs.join(values.select(F.col("id").alias("a"), F.col("values").alias("one")), "a").join(values.select(F.col("id").alias("b"), F.col("values").alias("two")), "b")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    own = values.join(broadcast_if_small(asked), "id", "left_semi")
+    pairs = pairs.join(own.select(F.col("id").alias("a"), F.col("values").alias("one")), "a").join(own.select(F.col("id").alias("b"), F.col("values").alias("two")), "b")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
