@@ -218,7 +218,7 @@ def _score(text: str, lo: int, g: int, end: int, nxt: int, hi: int, unit: int) -
     if low in _MAY_END:
         return int(opens == 1)
     size = len(token)
-    if size == 1 and not token.isdigit():
+    if size == 1 and token.isalpha():
         before = text[max(lo, m.start() - 8) : m.start()].rstrip()
         if low == "г" and before[-1:].isdigit() or low == "m" and before[-2:] in ("p.", "a.") and token == "m" or low in "дп" and before[-2:] == "т.":
             return int(opens == 1)

@@ -13,6 +13,7 @@ CASES = [
     ['The notice read: "Closed. Exempt."', "Members of the U.O. Council met on Jan. 4, 2010.", "Mr. X filed form No. 2 at 9:10 a.m. on Monday."],
     ["Die 6. Sitzung fand statt!", "„Gilt die Frist?“, fragte er.", "Erfasst sind z. B. Anleihen der AG.", "§ 3. Im Jahr 2001 galt dies."],
     ["« Change suspendu. Exemptés. »", "Selon l’art. 7, al. 12, le taux est de 29,72 % .", "Art. 2. – Nul ne gage ?"],
+    ["La tasa es de 18,43 %.", "Rige la versión 2.1 (véase la nota 3).", "Fin."],
     ["Срок истёк в 2012 г.", "В г. Пирена хранятся чеки и т. д. у агента.", "«Срок продлён?» — спросил А. П. Роа."],
     ["Ποιος ευθύνεται;", "Οι τίτλοι, π.χ. του Α, μένουν."],
     ["डॉ. ओरवानिया ने हस्ताक्षर किए।", "अनुच्छेद 2. दर 24.16 है।"],
