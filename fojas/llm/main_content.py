@@ -238,12 +238,12 @@ def page_furniture(pages: DataFrame, id_col: str, text_col: str, source: Column,
     ).filter("id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     often = repeated_lines(base, "id", "text", F.col("source"), p.min_docs)
     n = max(base.count(), 1)
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.2 * p.pages / n) * (1 << 30)))
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 0.9 * p.pages / n) * (1 << 30)))
     chosen = written(base.filter(share).select("id", "text", "title", "address").limit(p.pages), "chosen")  # at most ``pages`` rows
     few = chosen.select("id").distinct()
     lines = often.join(broadcast_if_small(few), "id", "left_semi").groupBy("id").agg(F.collect_set("line_no").alias("repeated"))
     sample = chosen.join(lines, "id", "left").select("text", "title", "address", F.coalesce("repeated", F.array()).alias("repeated")).toArrow()
-    w = fit_weights(sample.to_pylist(), p)
+    w = fit_weights(sorted(sample.to_pylist(), key=lambda x: x["text"]), p)
     if not w.any():
         return base.select(F.col("id").alias(id_col), F.lit(0).alias("line_no")).limit(0)
     sent = pages.sparkSession.sparkContext.broadcast(w.astype(np.float32))

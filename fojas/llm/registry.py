@@ -156,5 +156,19 @@ FROM extracted e LEFT JOIN whole w USING (doc_id)"""
 )
 
 
+P5_FOUND = r"""
+WITH t AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(texto), '[\p{L}\p{N}]+') AS w FROM extracted WHERE texto IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT p AS doc_id_a, q AS doc_id_b FROM b JOIN n u ON u.doc_id = p JOIN n v ON v.doc_id = q WHERE k >= 0.6 * (u.n + v.n - k)"""
+
+P2_FOUND = """
+WITH u AS (SELECT pos, list_transform(vector, lambda x: x::DOUBLE) AS v FROM normativa WHERE len(vector) = 128 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+n AS (SELECT pos, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u),
+s AS (SELECT a.pos AS p, b.pos AS q, row_number() OVER (PARTITION BY a.pos ORDER BY round(list_dot_product(a.v, b.v), 7) DESC, b.pos) AS r FROM n a JOIN n b ON a.pos <> b.pos)
+SELECT DISTINCT least(p, q) AS pos_a, greatest(p, q) AS pos_b FROM s WHERE r <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_clean": P1_CLEAN}
+    return {"p1_found": P1_FOUND, "p1_clean": P1_CLEAN, "p2_found": P2_FOUND, "p5_found": P5_FOUND}

@@ -172,8 +172,9 @@ def similar_vectors(vectors: DataFrame, id_col: str, vector_col: str, p: Search
     n = vectors.count()
     lists = int(np.clip(min(p.lists_per_root * math.sqrt(n), n / p.rows_per_list), 1, p.most_lists))
     size = min(p.sample, 48 * lists)
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.1 * size / max(n, 1)) * (1 << 30)))
-    sample = _unit(rows.filter(share).select("vector").limit(size).toArrow().column(0).combine_chunks(), p.dim)[1]
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 0.9 * size / max(n, 1)) * (1 << 30)))
+    drawn = rows.filter(share).select("id", "vector").limit(size).toArrow().sort_by("id")  # by the ids' hash; the limit is only a guard
+    sample = _unit(drawn.column("vector").combine_chunks(), p.dim)[1]
     if not len(sample):
         sample = np.eye(1, p.dim, dtype=np.float32)
     turn = _rotation(p)
