@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Most rows of a table that :func:`broadcast_if_small` may send to every executor.
 BROADCAST_ROWS = 200_000
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share.
@@ -28,6 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: its lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fojas-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,3 +44,10 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     if df.limit(most + 1).count() <= most:
         return F.broadcast(df)
     return df
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that :func:`written` made in this process; call it when their results have been stored."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
