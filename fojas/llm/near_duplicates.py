@@ -267,7 +267,30 @@ def all_pairs(docs: DataFrame, id_col: str, text_col: str, p: Near = Near()) ->
     return across.unionByName(within).filter("u <> v").select(pair[0].alias("a"), pair[1].alias("b")).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, p: Near = Near(), rounds: int = 50) -> DataFrame:
+def _lowest_reached(edges: DataFrame) -> DataFrame:
+    """(id, group): the lowest id that every node of ``edges (a, b)``, which holds both directions, can reach.
+
+    A round gives each node, and the node that it is labelled with, the lowest label next to it; then
+    each label takes its own label's label. Hooking labels joins whole trees at once, so the rounds grow with the
+    logarithm of a component's length, not with the length. Labels only fall, so the rounds end by themselves,
+    and once nothing changes all neighbours agree.
+    """
+    label = written(edges.select(F.col("a").alias("id")).distinct().withColumn("group", F.col("id")), "labels")
+    while True:
+        near = edges.join(label, edges["b"] == label["id"]).groupBy(F.col("a").alias("id")).agg(F.min("group").alias("lowest"))
+        near = written(label.join(near, "id"), "lowest")
+        own = near.select("id", F.least("group", "lowest").alias("group"), F.col("group").alias("before"))
+        hooks = near.filter(F.col("lowest") < F.col("group")).groupBy(F.col("group").alias("id")).agg(F.min("lowest").alias("group")).withColumn("before", F.lit(None))
+        new = own.unionByName(hooks).groupBy("id").agg(F.min("group").alias("group"), F.max("before").alias("before"))
+        new = written(new, "hooked")
+        hop = new.select(F.col("id").alias("group"), F.col("group").alias("further"))
+        new = written(new.join(hop, "group").select("id", F.least("group", "further").alias("group"), "before"), "labels")
+        label = new.select("id", "group")
+        if not new.filter(F.col("group") < F.col("before")).limit(1).count():
+            return label
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, p: Near = Near()) -> DataFrame:
     """One row per record: (id, class, group, links bigint).
 
     ``class`` stands for the records with the same shingles, ``group`` (the lowest class that can be
@@ -275,17 +298,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, p: Near =
     """
     pairs, members = near_duplicate_pairs(docs, id_col, text_col, p)
     edges = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    label = written(edges.select(F.col("a").alias("id")).distinct().withColumn("group", F.col("id")), "labels")
-    for _ in range(rounds):
-        near = edges.join(label, edges["b"] == label["id"]).groupBy(F.col("a").alias("id")).agg(F.min("group").alias("lowest"))
-        new = label.join(near, "id").select("id", F.least("group", "lowest").alias("group"), (F.col("lowest") < F.col("group")).alias("changed"))
-        # then each label takes its own label's label, which halves the way to the lowest
-        hop = new.select(F.col("id").alias("group"), F.col("group").alias("further"))
-        new = written(new.join(hop, "group").select("id", F.least("group", "further").alias("group"), (F.col("changed") | (F.col("further") < F.col("group"))).alias("changed")), "labels")
-        changed = new.filter("changed").limit(1).count()
-        label = new.select("id", "group")
-        if not changed:
-            break
+    label = _lowest_reached(edges)
     links = edges.groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("links"))
     return (
         members.join(links, "class", "left")

@@ -52,3 +52,13 @@ def test_empty(spark):
 def test_limits_rise_and_spare_true_pairs():
     need = fewest_matches(Near(threshold=0.6))
     assert all(a[1] <= b[1] for a, b in zip(need, need[1:], strict=False)) and need[-1][1] < 0.6 * need[-1][0]
+
+
+def test_long_chain_is_one_group(spark):
+    rng = np.random.default_rng(3)
+    words, ids = [f"w{i}" for i in range(4 * 1000 + 60)], rng.permutation(1000)
+    rows = [(int(x), " ".join(words[4 * i : 4 * i + 60])) for i, x in enumerate(ids)]  # similarity 0.87 to the next, 0.75 to the one after
+    got = near_duplicate_groups(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    assert sum(r["links"] for r in got) == 2 * 999 and sorted(r["id"] for r in got) == list(range(1000))
+    groups = {r["group"] for r in got}
+    assert groups == {0}, f"{len(groups)} groups"
