@@ -273,7 +273,7 @@ def dedupe_hash(s, sf):
 @_query
 def incremental_pending(s, sf):
     pieces = _t(s, sf, "chunks_ner").select("doc_id", "chunk_index", "doc_hash").distinct()
-    return index.pending(pieces, _t(s, sf, "normativa").filter("pos % 3 = 0").select("doc_hash"), [F.col("doc_id"), F.col("chunk_index")])
+    return index.pending(pieces, _t(s, sf, "normativa").select("doc_hash"), [F.col("doc_id"), F.col("chunk_index")])
 
 
 @_query
