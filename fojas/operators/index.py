@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,11 +73,14 @@ def schema_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "propiedad string, tipo string, orden int")
 
 
-def link_closure(links: DataFrame, seeds: DataFrame, most_levels: int = 20) -> DataFrame:
-    """(url, nivel): every page that ``links (desde, hasta)`` reach from ``seeds (url)``, with the fewest steps."""
+def link_closure(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(url, nivel): every page that ``links (desde, hasta)`` reach from ``seeds (url)``, with the fewest steps.
+
+    It ends when a level has no page that wasn't seen before.
+    """
     seen = written(seeds.select("url").distinct().withColumn("nivel", F.lit(0)), "seen")
     edge = seen
-    for level in range(1, most_levels + 1):
+    for level in count(1):
         step = links.join(edge.select(F.col("url").alias("desde")), "desde").select(F.col("hasta").alias("url")).distinct()
         edge = written(step.join(seen.select("url"), "url", "left_anti").withColumn("nivel", F.lit(level)), "edge")
         if not edge.limit(1).count():
