@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,28 +25,20 @@ from fojas.plans.lineage import written
 
 LOST = "�"
 
-# --- fixed values: encodings that texts are read with by mistake, and characters that need no look ---
+# --- fixed values: encodings that texts are read with by mistake ---
 #: UTF-8 text read as one of these.
 _READ_AS = ("cp1252", "mac_roman", "cp1251", "cp850", "cp437", "cp1250")
 #: (read as, written in) for encodings of one byte a character.
 _ONE_BYTE = (("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1251", "cp1252"))
-#: Characters of sound text in the corpus's main language; a value with these alone, none of them in an odd place, is passed over.
-_PLAIN = "áéíóúñüÁÉÍÓÚÑÜ°¿¡«»“”‘’—–…·›↑→©€ªº "
 # --- end of fixed values ---
 
-_LOWER = "a-zñáéíóúü"
-#: What makes a value worth a look: any other character, or one of these in an odd place.
-_ODD = re.compile(rf"[^\x00-\x7f{_PLAIN}]")
-_MISPLACED = re.compile(
-    "[ÁÉÍÓÚÑÜ°¿¡«»·›↑→©€ªº“”‘—–…?]"
-    rf"(?:(?<=[{_LOWER}].)(?=[{_LOWER}])|(?<=[A-Za-zñáéíóúü][¡¿])|(?<=[¡¿«»°·º])(?=[{_LOWER}])|(?<=[b-df-hj-np-tv-z]{{2}}[ÁÉÍÓÚ]))"
-)
-_TOKEN = re.compile(r"[^ \t\n\r]*[^\x00-\x7f \t\n\r][^ \t\n\r]*|[^ \t\n\r]*[a-zA-Z]\?[a-zA-Z][^ \t\n\r]*")
+_TOKEN = re.compile(r"[^ \t\n\r]*[^\x00-\x7f \t\n\r][^ \t\n\r]*|[^ \t\n\r]*(?:[a-zA-Z]\?|\?[a-zA-Z])[^ \t\n\r]*")
 _EDGE = r"^[\x00-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x40\x5b-\x60\x7b-\x7f]+$"
 _EDGES = re.compile(_EDGE)
 _LETTER = re.compile(r"[A-Za-z]")
 _TELLING = re.compile(r"[^\x00-\x7f\u00a0]")
-_INNER_MARK = re.compile(r"(?<=[a-zA-Z])\?(?=[a-zA-Z])")
+#: A byte may have been lost where a question mark touches a letter.
+_MARK = re.compile(r"(?<=[a-zA-Z])\?|\?(?=[a-zA-Z])")
 
 
 @dataclass(frozen=True)
@@ -57,6 +50,7 @@ class Channels:
     change: float = 6.0  #: from one channel to another
     unknown: float = 7.0  #: a word that isn't among the frequent ones
     wildcard: float = 2.0  #: a byte is missing
+    capitals: float = 2.0  #: a word that is frequent in lower case only
     word_share: float = 1 / 200_000  #: words with a smaller share count as unknown: at most 200,000 are sent to the tasks
     sign_share: float = 1 / 50_000  #: the same for (before, character, after): at most 50,000
     least: int = 8  #: a word seen less often counts as unknown
@@ -125,17 +119,32 @@ class _Corpus:
         for w in sorted(self.word, key=self.word.get):
             self.holes["".join(c if c.isascii() else LOST for c in w)] = w
 
+    def known(self, bare: str) -> float | None:
+        """Log probability of a frequent word, in capitals too; None of any other."""
+        found = self.word.get(bare)
+        if found is None and (low := bare.lower()) != bare and low in self.word:
+            return self.word[low] - self.p.capitals
+        return found
+
+    def filled(self, bare: str) -> str | None:
+        """The frequent word that fits the wildcards, in capitals if all the letters left are."""
+        left = bare.replace(LOST, "")
+        found = self.holes.get("".join(c if c.isascii() else LOST for c in bare)) if left else None
+        if found is None and left.isupper():
+            found = self.holes.get("".join(c if c.isascii() else LOST for c in bare.lower()), "").upper()
+        return found if found and len(found) == len(bare) and all(a == b or a == LOST for a, b in zip(bare, found, strict=True)) else None
+
     def score(self, token: str) -> tuple[float, str]:
         """Log probability of a token, and the token with its wildcards filled."""
         bare = _EDGES.sub("", token)
         if not bare:
             return -0.5, token
         if LOST in bare:
-            found = self.holes.get("".join(c if c.isascii() else LOST for c in bare)) if bare.replace(LOST, "") else None
-            if found and all(a == b or a == LOST for a, b in zip(bare, found, strict=True)):
-                return self.word[found] - self.p.wildcard * bare.count(LOST), token.replace(bare, found, 1)
+            found = self.filled(bare)
+            if found and (likely := self.known(found)) is not None:
+                return likely - self.p.wildcard * bare.count(LOST), token.replace(bare, found, 1)
             return -self.p.unknown + sum(self.sign.get(s, self.no_sign) for s in _signs(bare.replace(LOST, "é"))) - 4 * bare.count(LOST), token
-        known = self.word.get(bare)
+        known = self.known(bare)
         if known is not None:
             return known, token
         if bare.isascii():
@@ -143,35 +152,71 @@ class _Corpus:
         return -self.p.unknown + sum(self.sign.get(s, self.no_sign) for s in _signs(bare)), token
 
 
-def _decode(text: str, corpus: _Corpus, ways: list, cache: dict) -> tuple[str, list[str]]:
+def _edge_marks_alone(token: str) -> bool:
+    """Whether all characters outside ASCII are punctuation or spaces at the token's ends, where they stand in sound text, too."""
+    i, j = 0, len(token)
+    while i < j and (not token[i].isalnum() if token[i].isascii() else unicodedata.category(token[i])[0] in "PZ"):
+        i += 1
+    while j > i and (not token[j - 1].isalnum() if token[j - 1].isascii() else unicodedata.category(token[j - 1])[0] in "PZ"):
+        j -= 1
+    return token[i:j].isascii()
+
+
+class _Tokens(dict):
+    """By token: the score and reading under no channel and under each one, and the most that a reading can gain; kept up to a bound."""
+
+    def __init__(self, corpus: _Corpus, ways: list):
+        self.corpus, self.ways = corpus, ways
+
+    def __missing__(self, t: str) -> tuple[list[tuple[float, str]], float]:
+        corpus = self.corpus
+        s, filled = corpus.score(_MARK.sub(LOST, t))
+        plain, _ = corpus.score(t)
+        options = [(max(s, plain), filled if s > plain or LOST in t else t)]
+        edges = _edge_marks_alone(t)
+        for _, one_byte, read in self.ways:
+            d = read(t)
+            if d is None or any(c.isspace() or not (c.isprintable() or c == "\u00ad") for c in d if c != "\u00a0"):
+                options.append((options[0][0] - 12.0, options[0][1]) if d is not None or not t.isascii() else options[0])
+                continue
+            known = _LETTER.search(t) and corpus.known(_EDGES.sub("", d)) is not None
+            if not known and (not _LETTER.search(t) or not _TELLING.search(t) or (one_byte and edges)):
+                # a sign alone, a no-break space or a mark beside an unknown word tells nothing, but shares its stretch's channel
+                options.append((options[0][0], d))
+            else:
+                s, filled = corpus.score(d)
+                # bytes that are no text in the other encoding, and no known word fits them
+                options.append((options[0][0] - 12.0, options[0][1]) if LOST in filled else (s, filled))
+        gain = math.inf if options[0][1] != t or LOST in t else max(o[0] for o in options) - options[0][0]
+        if len(self) > 200_000:
+            self.clear()
+        self[t] = found = options, gain
+        return found
+
+
+def _words(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+def _sound(text: str, tokens: _Tokens) -> bool:
+    """Whether no path can be better than the text as it is: all gains together don't pay for entering a channel."""
+    if text.isascii() and "?" not in text:
+        return True
+    most = min(tokens.corpus.p.enter, tokens.corpus.p.enter_one_byte)
+    return sum(tokens[w][1] for w in _words(text) if not w.isascii() or ("?" in w and _MARK.search(w))) <= most
+
+
+def _decode(text: str, tokens: _Tokens) -> tuple[str, list[str]]:
     """The restored text and the names of the channels used, without repeats; none for sound text."""
-    p = corpus.p
-    tokens = list(_TOKEN.finditer(text))
-    if not tokens:
+    p, ways = tokens.corpus.p, tokens.ways
+    matches = list(_TOKEN.finditer(text))
+    if not matches:
         return text, []
     n = len(ways) + 1
     enter = [0.0] + [p.enter_one_byte if one else p.enter for _, one, _ in ways]
     best, back, seen = [0.0] + [-math.inf] * (n - 1), [], []
-    for m in tokens:
-        t = m.group()
-        options = cache.get(t)
-        if options is None:
-            s, filled = corpus.score(_INNER_MARK.sub(LOST, t))
-            plain, _ = corpus.score(t)
-            options = [(max(s, plain), filled if s > plain or LOST in t else t)]
-            for _, _, read in ways:
-                d = read(t)
-                if d is None or any(c.isspace() or not (c.isprintable() or c == "­") for c in d if c != " "):
-                    options.append((options[0][0] - 12.0, options[0][1]) if d is not None or not t.isascii() else options[0])
-                elif not _LETTER.search(t) or not _TELLING.search(t):  # a sign alone or a no-break space tells nothing, but shares its stretch's channel
-                    options.append((options[0][0], d))
-                else:
-                    s, filled = corpus.score(d)
-                    # bytes that are no text in the other encoding, and no known word fits them
-                    options.append((options[0][0] - 12.0, options[0][1]) if LOST in filled else (s, filled))
-            if len(cache) > 200_000:
-                cache.clear()
-            cache[t] = options
+    for m in matches:
+        options, _ = tokens[m.group()]
         top = max(range(n), key=best.__getitem__)
         new, came = [], []
         for k in range(n):
@@ -195,7 +240,7 @@ def _decode(text: str, corpus: _Corpus, ways: list, cache: dict) -> tuple[str, l
         k = came[k]
     path.reverse()
     out, at, used = [], 0, []
-    for m, k, options in zip(tokens, path, seen, strict=True):
+    for m, k, options in zip(matches, path, seen, strict=True):
         new = options[k][1]
         out += [text[at : m.start()], new]
         at = m.end()
@@ -211,14 +256,12 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = Counter()
         for t in b.column(0).to_pylist():
-            found.update(_EDGES.sub("", w) for w in _WORDS.findall(t))
+            if not t.isascii():
+                found.update(_EDGES.sub("", w) for w in _words(t) if not w.isascii())
         found.pop("", None)
         yield pa.record_batch({"word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
 
-_WORDS = re.compile(r"[^ \t\n\r]*[^\x00-\x7f \t\n\r][^ \t\n\r]*")
-
-
 def _sign_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found: Counter = Counter()
@@ -262,13 +305,13 @@ def garbled_values(docs: DataFrame, id_col: str, text_cols: list[str], p: Channe
     sent = spark.sparkContext.broadcast(_statistics(values, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, ways, cache = _Corpus(*sent.value, p), channels(), {}
+        tokens = _Tokens(_Corpus(*sent.value, p), channels())
         for b in batches:
             out, keep, names = [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
-                if not (_ODD.search(t) or _MISPLACED.search(t)):
+                if _sound(t, tokens):
                     continue
-                new, used = _decode(t, corpus, ways, cache)
+                new, used = _decode(t, tokens)
                 if used:
                     keep.append(i)
                     out.append(new)

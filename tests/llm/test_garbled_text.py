@@ -33,3 +33,20 @@ def test_original_comes_back(found, name):
 
 def test_empty(spark):
     assert garbled_values(spark.createDataFrame([], "id string, t string"), "id", ["t"]).count() == 0
+
+
+def test_damage_that_looks_like_sound_signs(spark):
+    good = "Podrá dictar órdenes si podrá el comité según el ARTÍCULO y los Términos del índice y ellos incumplió"
+    sound = ["—Sí, dijo el «Banco» y “otros” —el resto— ‘así’ · fin…", "¿Qué es? ¿Quién podrá? véase page?id=3", "El\u00a0Banco y 5\u00a0%\u00a0"]
+    bad = ["Se podr\u00a0 vender", "Se podr· vender", "Las —rdenes", "Se incumpli— ayer", "El ’ndice", "El comitÚ", "Los TÚrminos", "El ART?CULO", "Las ?rdenes"]
+    want = ["Se podrá vender", "Se podrá vender", "Las órdenes", "Se incumplió ayer", "El índice", "El comité", "Los Términos", "El ARTÍCULO", "Las órdenes"]
+    rows = [(f"g{i}", good) for i in range(60)] + [(f"s{i}", t) for i, t in enumerate(sound)] + [(f"b{i}", t) for i, t in enumerate(bad)]
+    got = {r["id"]: r["restaurado"] for r in garbled_values(spark.createDataFrame(rows, "id string, t string"), "id", ["t"]).collect()}
+    assert got == {f"b{i}": t for i, t in enumerate(want)}
+
+
+def test_capitals_stay_though_damage_is_frequent(spark):
+    good, bad = "El banco procederá y tendrá los años", "EL BANCO PROCEDER¡ Y TENDR¡ LOS A—OS"
+    rows = [(f"g{i}", good) for i in range(60)] + [(f"b{i}", bad) for i in range(6)] + [("s", "EL BANCO PROCEDERÁ Y TENDRÁ LOS AÑOS")]
+    got = {r["id"]: r["restaurado"] for r in garbled_values(spark.createDataFrame(rows, "id string, t string"), "id", ["t"]).collect()}
+    assert "s" not in got
