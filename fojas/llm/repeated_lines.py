@@ -1,12 +1,13 @@
 """Lines that return across many documents of one source.
 
 Text is cut into chunks where a rolling hash of the last 16 characters says so, so equal stretches
-give equal chunks wherever they stand; a line end is always a cut, so a line's chunks depend on
-that line alone. Documents are counted per (source, chunk); a line can only be repeated in enough
-documents if every chunk of it is, and those few lines are then counted exactly.
+give equal chunks wherever they stand; a line end is always a cut, too, for the result is lines.
+Distinct documents are counted per (chunk, source), and these counts decide: a line that is one chunk
+is repeated if its chunk is, and a line of several chunks can only be repeated if all of them are;
+what stands in between is settled by counting such lines in full.
 
-Nothing is lost: chunk counts count rows, never fewer than documents, and every line whose chunks
-all pass is compared in full (by a 128-bit key of its normal form).
+A chunk's key holds whether it begins and ends its line, so the chunk of a whole line never stands for a part of a longer one.
+Nothing is lost: no chunk of a line is found in fewer documents than the line.
 """
 
 from __future__ import annotations
@@ -98,7 +99,12 @@ class _Cut:
         self.line_of_chunk = np.searchsorted(self.start, self.chunk_start, "right") - 1  # index into full
 
     def chunks(self) -> np.ndarray:
-        return _segment_hash(self.value, self.chunk_start, 0x9E3779B97F4A7C15) if len(self.chunk_start) else np.zeros(0, np.uint64)
+        """Keys of the chunks: their content, and whether they begin and end their line."""
+        if not len(self.chunk_start):
+            return np.zeros(0, np.uint64)
+        begins = np.append(True, self.line_of_chunk[1:] != self.line_of_chunk[:-1])
+        place = begins + 2 * np.append(begins[1:], True)
+        return _mixed(_segment_hash(self.value, self.chunk_start, 0x9E3779B97F4A7C15) + place.astype(np.uint64))
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.start):
@@ -121,12 +127,18 @@ def _with_source(keys: np.ndarray, source: np.ndarray) -> np.ndarray:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct chunks of every row, with the row's id where several rows have it."""
     for b in batches:
         source = b.column("source").to_numpy().view(np.uint64)
         for lo, hi, texts in _slices(b):
             cut = _Cut(texts)
-            line_source = np.repeat(source[lo:hi], cut.lines_of)[cut.full]
-            yield pa.record_batch({"chunk": pa.array(_with_source(cut.chunks(), line_source[cut.line_of_chunk]))})
+            doc = np.repeat(np.arange(lo, hi), cut.lines_of)[cut.full][cut.line_of_chunk]
+            chunk = _with_source(cut.chunks(), source[doc])
+            order = np.lexsort((chunk, doc))
+            doc, chunk = doc[order], chunk[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (chunk[1:] != chunk[:-1])
+            yield pa.record_batch({"chunk": pa.array(chunk[new]), "again": b.column("again").take(pa.array(doc[new]))})
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +163,21 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def repeated_chunks(base: DataFrame, min_docs: int) -> DataFrame:
+    """(chunk): keys of (chunk, source) found in at least ``min_docs`` distinct documents of ``base (id, source, text)``.
+
+    Rows under an id of their own are counted at once, so partial counts shrink the shuffle; rows that share
+    an id, which must count as one document, are told apart by it.
+    """
+    ids = written(base.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "shared_ids")
+    marked = base.join(broadcast_if_small(ids.withColumn("again", F.col("id"))), "id", "left").select("source", "text", "again")
+    kind = base.schema["id"].dataType.simpleString()
+    rows = marked.mapInArrow(_chunk_rows, f"chunk long, again {kind}")
+    per_id = rows.groupBy("chunk", "again").agg(F.count(F.lit(1)).alias("rows"))
+    documents = F.sum(F.when(F.col("again").isNull(), F.col("rows")).otherwise(1))
+    return per_id.groupBy("chunk").agg(documents.alias("n")).filter(F.col("n") >= min_docs).select("chunk")
+
+
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, source: Column, min_docs: int = 10) -> DataFrame:
     """Lines found in at least ``min_docs`` distinct documents of one source: distinct (id_col, line_no int).
 
@@ -164,8 +191,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, source: Column,
     base = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(source).alias("source"), source.isNotNull().alias("known")
     ).filter("known AND id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    counts = base.select("source", "text").mapInArrow(_chunk_rows, "chunk long").groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
-    often = written(counts.filter(F.col("n") >= min_docs).select("chunk"), "chunks")
+    often = written(repeated_chunks(base, min_docs), "chunks")
     kind = base.schema["id"].dataType.simpleString()
     lines = base.select("id", "source", "text").mapInArrow(_line_rows, f"id {kind}, line_no int, key_a long, key_b long, chunks array<long>")
     hit = (
@@ -174,16 +200,15 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, source: Column,
         .groupBy("id", "line_no", "key_a", "key_b", "n")
         .agg(F.count(F.lit(1)).alias("hits"))
         .filter(F.col("hits") >= F.col("n"))
-        .select("id", "line_no", "key_a", "key_b")
+        .select("id", "line_no", "key_a", "key_b", "n")
     )
     hit = written(hit, "lines")
-    exact = (
-        hit.select("id", "key_a", "key_b").distinct().groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
-    )
-    exact = written(exact.select("key_a", "key_b"), "keys")
-    return (
-        hit.join(broadcast_if_small(exact), ["key_a", "key_b"], "left_semi").select(F.col("id").alias(id_col), "line_no").distinct()
-    )
+    several = hit.filter("n > 1")
+    whole = several.select("id", "key_a", "key_b").distinct().groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs)
+    whole = written(whole.select("key_a", "key_b"), "keys")
+    verified = several.join(broadcast_if_small(whole), ["key_a", "key_b"], "left_semi")
+    found = hit.filter("n = 1").select("id", "line_no").unionByName(verified.select("id", "line_no"))
+    return found.distinct().withColumnRenamed("id", id_col)
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str, text_col: str, source: Column, min_docs: int = 10) -> DataFrame:

@@ -53,3 +53,22 @@ def test_chunks_depend_on_the_line_alone():
     line = " ".join(f"palabra {chr(97 + i % 26)}{i * i}{chr(97 + i * 7 % 26)}x" for i in range(80))
     alone, among = r._Cut([line]), r._Cut(["otra cosa\n" + line.upper() + "\nfin"])
     assert len(alone.chunks()) > 1 and set(alone.chunks()) <= set(among.chunks())
+
+
+def test_chunk_counts_decide(spark, monkeypatch):
+    rows = [(i, "s", f"un aviso corto\nlínea {chr(97 + i)}") for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, s string, t string")
+    assert r.repeated_lines(df, "id", "t", F.col("s"), 6).count() == 6
+    without = r.repeated_chunks
+    monkeypatch.setattr(r, "repeated_chunks", lambda base, n: without(base, n).limit(0))
+    assert r.repeated_lines(df, "id", "t", F.col("s"), 6).count() == 0
+
+
+def test_a_line_and_the_beginning_of_a_longer_one(spark):
+    """A line that ends just where a chunk would is told from the longer line that begins with it."""
+    words = " ".join(f"palabra {chr(97 + i % 26)}{chr(97 + i * i % 26)}x" for i in range(200))
+    cut = r._Cut([words])
+    first = int(cut.chunk_start[1])
+    rows = [(f"a{i}", "s", words[:first]) for i in range(3)] + [(f"b{i}", "s", words) for i in range(3)]
+    df = spark.createDataFrame(rows, "id string, s string, t string")
+    assert r.repeated_lines(df, "id", "t", F.col("s"), 4).count() == 0 and r.repeated_lines(df, "id", "t", F.col("s"), 3).count() == 6
