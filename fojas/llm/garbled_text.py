@@ -1,9 +1,11 @@
 """Text that was decoded with the wrong encoding, found and restored by noisy-channel decoding.
 
 A channel is a pair (encoding the bytes were read with, encoding they were written in), applied once
-or twice. Every word with a character outside ASCII is turned back into bytes under each channel and
-read again; bytes that were lost are wildcards, filled with the most frequent word of the corpus that
-fits. A Viterbi search over the words of a value then chooses the channel of every word: words are
+or twice. Under each channel a word with a character outside ASCII is a lattice of bytes: a character
+stands for the bytes it was made from, and a lost one is a wildcard of one to three bytes. The lattice is
+walked along the frequent words of the corpus, sorted by their bytes, so several lost bytes in a row may
+be one character or more; the likeliest word that fits is taken if it is likelier than all others together.
+A Viterbi search over the words of a value then chooses the channel of every word: words are
 scored by their frequency in the corpus, unknown ones by how often their characters stand between
 such neighbours, and each change of channel costs something, so damage comes in stretches.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fojas.plans.lineage import written
+from fojas.plans.lineage import broadcast_if_small, written
 
 LOST = "�"
 
@@ -35,9 +38,11 @@ _ONE_BYTE = (("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1252", "cp850"), ("cp
 _TOKEN = re.compile(r"[^ \t\n\r]*[^\x00-\x7f \t\n\r][^ \t\n\r]*|[^ \t\n\r]*(?:[a-zA-Z]\?|\?[a-zA-Z])[^ \t\n\r]*")
 _EDGE = r"^[\x00-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x40\x5b-\x60\x7b-\x7f]+$"
 _EDGES = re.compile(_EDGE)
+_EDGE_LEFT = re.compile(_EDGE.split("|")[0])
 _LETTER = re.compile(r"[A-Za-z]")
 _TELLING = re.compile(r"[^\x00-\x7f\u00a0]")
 #: A byte may have been lost where a question mark touches a letter.
+_INSIDE = re.compile(r"[a-zA-Z]\?[a-zA-Z]")
 _MARK = re.compile(r"(?<=[a-zA-Z])\?|\?(?=[a-zA-Z])")
 
 
@@ -51,7 +56,8 @@ class Channels:
     unknown: float = 7.0  #: a word that isn't among the frequent ones
     wildcard: float = 2.0  #: a byte is missing
     capitals: float = 2.0  #: a word that is frequent in lower case only
-    word_share: float = 1 / 200_000  #: words with a smaller share count as unknown: at most 200,000 are sent to the tasks
+    sure: float = 0.5  #: a word with lost bytes is restored if the likeliest that fits has more than this share of all that fit
+    word_share: float = 1 / 200_000  #: words with this share, at most 200,000, are sent to all tasks; rarer ones are joined to the words that need them
     sign_share: float = 1 / 50_000  #: the same for (before, character, after): at most 50,000
     least: int = 8  #: a word seen less often counts as unknown
 
@@ -66,31 +72,43 @@ def _bytes_of(encoding: str) -> dict[str, int]:
     return out
 
 
+#: An edge of a lattice: the UTF-8 bytes that a character stands for, or None for one to three lost ones.
+Edges = list[bytes | None]
+
+
+def plain_edges(word: str) -> Edges:
+    return [None if c == LOST else c.encode("utf-8", "surrogatepass") for c in word]
+
+
+def reading(edges: Edges) -> str:
+    """The text of a lattice; where its bytes are lost or no text stands a mark."""
+    return b"".join(LOST.encode() if e is None else e for e in edges).decode("utf-8", "replace")
+
+
 def _reader(read_as: str, written_in: str, times: int = 1):
     table = _bytes_of(read_as)
-
-    def once(word: str) -> str | None:
-        try:
-            raw = bytes([table[c] for c in word])
-        except KeyError:
-            return None
-        if written_in == "utf-8":
-            return raw.decode("utf-8", "replace")
-        return raw.decode(written_in, "replace")
-
-    def run(word: str) -> str | None:
-        for _ in range(times):
-            new = once(word)
-            if new is None or new == word:
+    if written_in == "utf-8":
+        edge = {c: bytes([b]) for c, b in table.items()}
+    else:
+        edge = {c: None if (x := bytes([b]).decode(written_in, "replace")) == LOST else x.encode() for c, b in table.items()}
+
+    def run(word: str) -> Edges | None:
+        for i in range(times):
+            try:
+                edges = [None if c == LOST else edge[c] for c in word]
+            except KeyError:
+                return None
+            new = reading(edges)
+            if new == word or (i + 1 < times and LOST in new):
                 return None
             word = new
-        return word
+        return edges
 
     return run
 
 
 def channels() -> list[tuple[str, bool, object]]:
-    """(name, whether one byte a character, function from a garbled word to the original or None)."""
+    """(name, whether one byte a character, function from a garbled word to its lattice or None)."""
     out = [(f"utf-8 as {e}", False, _reader(e, "utf-8")) for e in _READ_AS]
     out += [(f"utf-8 as {e}, twice", False, _reader(e, "utf-8", 2)) for e in ("cp1252", "cp1251", "mac_roman")]
     return out + [(f"{w} as {r}", True, _reader(r, w)) for r, w in _ONE_BYTE]
@@ -105,50 +123,100 @@ def _signs(word: str) -> list[str]:
     return [_kind(word[i - 1 : i]) + c + _kind(word[i + 1 : i + 2]) for i, c in enumerate(word) if not c.isascii()]
 
 
+class _Lexicon:
+    """Words sorted by their UTF-8 bytes; a run of them with one beginning is a node of their trie."""
+
+    def __init__(self, words: dict[str, float]):
+        pairs = sorted((w.encode("utf-8", "surrogatepass"), x) for w, x in words.items())
+        self.words, self.scores = [w for w, _ in pairs], [x for _, x in pairs]
+
+    def fits(self, edges: Edges) -> list[tuple[float, str]]:
+        """(log probability, word) of the words on a path through the lattice, the likeliest first."""
+        words, out = self.words, {}
+        todo = [(0, 0, b"", 0, len(words))]  # edge, bytes of its wildcard so far, beginning, the run of words that have it
+        while todo:
+            k, held, begin, lo, hi = todo.pop()
+            if k < len(edges) and edges[k] is not None:
+                new = begin + edges[k]
+                lo = bisect_left(words, new, lo, hi)
+                hi = bisect_left(words, new + b"\xff", lo, hi)
+                if lo < hi:
+                    todo.append((k + 1, 0, new, lo, hi))
+                continue
+            if k == len(edges):
+                if words[lo] == begin:
+                    out[words[lo]] = self.scores[lo]
+                continue
+            if held:
+                todo.append((k + 1, 0, begin, lo, hi))
+            if held < 3:
+                at = bisect_left(words, begin + b"\x80", lo, hi)
+                while at < hi:
+                    new = words[at][: len(begin) + 1]
+                    end = bisect_left(words, new + b"\xff", at, hi)
+                    todo.append((k, held + 1, new, at, end))
+                    at = end
+        return sorted(((x, w.decode("utf-8", "surrogatepass")) for w, x in out.items()), reverse=True)
+
+
 class _Corpus:
     """Log probabilities of words and of characters between neighbours."""
 
     def __init__(self, words: dict[str, int], words_in_all: int, signs: dict[str, int], signs_in_all: int, p: Channels):
         self.p = p
-        total = max(words_in_all, 1)
-        self.word = {w: math.log(n / total) for w, n in words.items() if LOST not in w}
-        self.rarest = math.log(1 / total) - p.unknown
+        self.total = max(words_in_all, 1)
+        self.word = {w: math.log(n / self.total) for w, n in words.items() if LOST not in w}
         self.sign = {s: math.log(n / max(signs_in_all, 1)) for s, n in signs.items()}
         self.no_sign = math.log(0.2 / max(signs_in_all, 50))
-        self.holes: dict[str, str] = {}
-        for w in sorted(self.word, key=self.word.get):
-            self.holes["".join(c if c.isascii() else LOST for c in w)] = w
+        self.lexicon = _Lexicon(self.word)
+
+    def with_words(self, words: dict[str, int]) -> _Corpus:
+        """The same with rarer words; lost bytes are still filled from the frequent ones."""
+        new = object.__new__(_Corpus)
+        new.__dict__ = self.__dict__ | {"word": self.word | {w: math.log(n / self.total) for w, n in words.items() if LOST not in w}}
+        return new
 
     def known(self, bare: str) -> float | None:
-        """Log probability of a frequent word, in capitals too; None of any other."""
+        """Log probability of a known word, in capitals too; None of any other."""
         found = self.word.get(bare)
         if found is None and (low := bare.lower()) != bare and low in self.word:
             return self.word[low] - self.p.capitals
         return found
 
-    def filled(self, bare: str) -> str | None:
-        """The frequent word that fits the wildcards, in capitals if all the letters left are."""
-        left = bare.replace(LOST, "")
-        found = self.holes.get("".join(c if c.isascii() else LOST for c in bare)) if left else None
-        if found is None and left.isupper():
-            found = self.holes.get("".join(c if c.isascii() else LOST for c in bare.lower()), "").upper()
-        return found if found and len(found) == len(bare) and all(a == b or a == LOST for a, b in zip(bare, found, strict=True)) else None
+    def filled(self, edges: Edges) -> tuple[float, str] | None:
+        """The likeliest word on the lattice and its log probability, in the case of the letters left; None if none or none surely fits."""
+        letters = b"".join(e for e in edges if e and e.isascii()).decode()
+        if not any(c.isalpha() for c in letters):
+            return None
+        found, cost = self.lexicon.fits(edges), 0.0
+        if not found and letters != letters.lower():
+            low = [e.lower() if e and e.isascii() else e for e in edges]
+            found, cost = self.lexicon.fits(low), self.p.capitals
+            first = edges[0] is None or edges[0] != low[0]
+            change = str.upper if letters.isupper() and (len(letters) > 1 or not first) else (lambda w: w[:1].upper() + w[1:]) if first else str
+            found = [(x, change(w)) for x, w in found]
+        if not found or math.exp(found[0][0]) <= self.p.sure * sum(math.exp(x) for x, _ in found):
+            return None
+        return found[0][0] - cost - self.p.wildcard * sum(e is None for e in edges), found[0][1]
 
-    def score(self, token: str) -> tuple[float, str]:
-        """Log probability of a token, and the token with its wildcards filled."""
+    def score(self, token: str, edges: Edges | None = None) -> tuple[float, str]:
+        """Log probability of a token, and the token with its lost bytes filled; ``edges``: its lattice, where it isn't the token's own."""
         bare = _EDGES.sub("", token)
         if not bare:
             return -0.5, token
         if LOST in bare:
-            found = self.filled(bare)
-            if found and (likely := self.known(found)) is not None:
-                return likely - self.p.wildcard * bare.count(LOST), token.replace(bare, found, 1)
+            own = plain_edges(token) if edges is None else edges
+            at = len(token) - len(_EDGE_LEFT.sub("", token))
+            after = len(token) - at - len(bare)
+            found = self.filled(own[at : len(own) - after])
+            if found:
+                return found[0], token[:at] + found[1] + token[len(token) - after :]
             return -self.p.unknown + sum(self.sign.get(s, self.no_sign) for s in _signs(bare.replace(LOST, "é"))) - 4 * bare.count(LOST), token
         known = self.known(bare)
         if known is not None:
             return known, token
         if bare.isascii():
-            return -self.p.unknown, token
+            return -self.p.unknown - 2 * self.p.wildcard * bool(_INSIDE.search(bare)), token
         return -self.p.unknown + sum(self.sign.get(s, self.no_sign) for s in _signs(bare)), token
 
 
@@ -175,7 +243,8 @@ class _Tokens(dict):
         options = [(max(s, plain), filled if s > plain or LOST in t else t)]
         edges = _edge_marks_alone(t)
         for _, one_byte, read in self.ways:
-            d = read(t)
+            path = read(t)
+            d = None if path is None else reading(path)
             if d is None or any(c.isspace() or not (c.isprintable() or c == "\u00ad") for c in d if c != "\u00a0"):
                 options.append((options[0][0] - 12.0, options[0][1]) if d is not None or not t.isascii() else options[0])
                 continue
@@ -184,7 +253,7 @@ class _Tokens(dict):
                 # a sign alone, a no-break space or a mark beside an unknown word tells nothing, but shares its stretch's channel
                 options.append((options[0][0], d))
             else:
-                s, filled = corpus.score(d)
+                s, filled = corpus.score(d, path)
                 # bytes that are no text in the other encoding, and no known word fits them
                 options.append((options[0][0] - 12.0, options[0][1]) if LOST in filled else (s, filled))
         gain = math.inf if options[0][1] != t or LOST in t else max(o[0] for o in options) - options[0][0]
@@ -271,8 +340,8 @@ def _sign_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"sign": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
 
-def _statistics(values: DataFrame, p: Channels) -> tuple[dict, int, dict, int]:
-    """Frequent words with characters outside ASCII, and characters by neighbours, over all values."""
+def _statistics(values: DataFrame, p: Channels) -> tuple[DataFrame, dict, int, dict, int]:
+    """All words with characters outside ASCII, the frequent ones of them, and frequent characters by neighbours, over all values."""
     words = values.select("text").mapInArrow(_word_rows, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = written(words, "words")
     total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -280,7 +349,32 @@ def _statistics(values: DataFrame, p: Channels) -> tuple[dict, int, dict, int]:
     signs = written(words.mapInArrow(_sign_rows, "sign string, n long").groupBy("sign").agg(F.sum("n").alias("n")), "signs")
     in_all = signs.agg(F.sum("n").alias("n")).first()["n"] or 0
     often = {r["sign"]: r["n"] for r in signs.filter(F.col("n") >= max(1.0, in_all * p.sign_share)).collect()}  # at most 1 / sign_share rows
-    return common, total, often, in_all
+    return words, common, total, often, in_all
+
+
+def _rarer(words: DataFrame, common: dict, total: int, p: Channels) -> DataFrame | None:
+    """(word, other, n): words that are, or under a channel read as, another word of the corpus that is known but not frequent.
+
+    None if every known word is frequent. The distinct words alone are read under the channels, and joined with all words.
+    """
+    if total * p.word_share <= p.least:
+        return None
+    frequent = words.sparkSession.sparkContext.broadcast(frozenset(common))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, ways = frequent.value, channels()
+        for b in batches:
+            word, other = [], []
+            for w in b.column("word").to_pylist():
+                read = {w} | {_EDGES.sub("", reading(x)) for _, _, way in ways if (x := way(w)) is not None}
+                for r in read | {r.lower() for r in read}:
+                    if r and r not in have and LOST not in r:
+                        word.append(w)
+                        other.append(r)
+            yield pa.record_batch({"word": pa.array(word, pa.string()), "other": pa.array(other, pa.string())})
+
+    known = words.filter(F.col("n") >= p.least).select(F.col("word").alias("other"), "n")
+    return written(words.select("word").mapInArrow(others, "word string, other string").join(known, "other").select("word", "other", "n"), "rarer")
 
 
 def garbled_values(docs: DataFrame, id_col: str, text_cols: list[str], p: Channels = Channels()) -> DataFrame:
@@ -302,16 +396,21 @@ def garbled_values(docs: DataFrame, id_col: str, text_cols: list[str], p: Channe
         return df.select("id", F.explode(F.array(*pair)).alias("x")).select("id", "x.campo", "x.text").filter("id IS NOT NULL AND text IS NOT NULL AND text <> ''")
 
     values = tall(wide)
-    sent = spark.sparkContext.broadcast(_statistics(values, p))
+    words, *statistics = _statistics(values, p)
+    sent = spark.sparkContext.broadcast(statistics)
+    rarer = _rarer(words, *statistics[:2], p)
+    values = values.withColumn("rare", F.lit(None).cast("array<struct<other:string,n:bigint>>")) if rarer is None else _with_rarer(values, rarer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _Tokens(_Corpus(*sent.value, p), channels())
+        corpus, ways = _Corpus(*sent.value, p), channels()
+        tokens = _Tokens(corpus, ways)
         for b in batches:
             out, keep, names = [], [], []
-            for i, t in enumerate(b.column("text").to_pylist()):
-                if _sound(t, tokens):
+            for i, (t, rare) in enumerate(zip(b.column("text").to_pylist(), b.column("rare").to_pylist(), strict=True)):
+                own = _Tokens(corpus.with_words({x["other"]: x["n"] for x in rare}), ways) if rare else tokens
+                if _sound(t, own):
                     continue
-                new, used = _decode(t, tokens)
+                new, used = _decode(t, own)
                 if used:
                     keep.append(i)
                     out.append(new)
@@ -323,3 +422,11 @@ def garbled_values(docs: DataFrame, id_col: str, text_cols: list[str], p: Channe
 
     found = values.mapInArrow(run, f"id {kind}, campo string, restaurado string, canales array<string>")
     return found.dropDuplicates(["id", "campo", "restaurado"]).withColumnRenamed("id", id_col)
+
+
+def _with_rarer(values: DataFrame, rarer: DataFrame) -> DataFrame:
+    """``values`` with the rarer words that their own words are or could be read as: + rare array<struct<other, n>>, null for most."""
+    tokens = F.array_distinct(F.transform(F.split("text", "[ \t\n\r]"), lambda w: F.regexp_replace(w, _EDGE, "")))
+    pairs = values.select("id", "campo", F.explode(F.filter(tokens, lambda w: w.rlike(r"[^\x00-\x7f]"))).alias("word"))
+    found = pairs.join(broadcast_if_small(rarer), "word").groupBy("id", "campo").agg(F.collect_set(F.struct("other", "n")).alias("rare"))
+    return values.join(broadcast_if_small(written(found, "needed")), ["id", "campo"], "left")

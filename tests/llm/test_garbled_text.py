@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from fojas.llm import garbled_text as g
 from fojas.llm.garbled_text import garbled_values
 
 GOOD = "La Resolución N° 15 rige según el régimen único; está vigente la decisión del comité técnico"
@@ -50,3 +51,27 @@ def test_capitals_stay_though_damage_is_frequent(spark):
     rows = [(f"g{i}", good) for i in range(60)] + [(f"b{i}", bad) for i in range(6)] + [("s", "EL BANCO PROCEDERÁ Y TENDRÁ LOS AÑOS")]
     got = {r["id"]: r["restaurado"] for r in garbled_values(spark.createDataFrame(rows, "id string, t string"), "id", ["t"]).collect()}
     assert "s" not in got
+
+
+def test_one_damage_among_sound_values(spark):
+    """Each damage stands alone among two hundred sound values of a corpus."""
+    good = "El año está más cerca de aquí que el país; qué RESOLUCIÓN y qué pagaré hay según la decisión"
+    bad = {"est·": "está", "RESOLUCI”N": "RESOLUCIÓN", "aqu’": "aquí", "pa’s": "país", "RESOLUCI?N": "RESOLUCIÓN", "resoluciÃ³n": "resolución", "a��o": "año", "qu?": "qué", "m\u00a0s": "más", "Pa�s": "País", "resoluciÃ�n": "resolución"}
+    rows = [(f"g{i}", good + " resolución") for i in range(200)] + [(k, f"Un texto con {k} dentro") for k in bad]
+    got = {r["id"]: r["restaurado"] for r in garbled_values(spark.createDataFrame(rows, "id string, t string"), "id", ["t"]).collect()}
+    assert got == {k: f"Un texto con {v} dentro" for k, v in bad.items()}
+
+
+def test_words_that_fit_equally_are_left_lost():
+    corpus = g._Corpus({"mamá": 50, "mamé": 50, "papá": 90}, 1000, {}, 1, g.Channels())
+    assert corpus.score("mam�")[1] == "mam�" and corpus.score("pap�")[1] == "papá"
+
+
+def test_words_below_the_broadcast_share_are_joined(spark):
+    """A word that is known but too rare to be sent to all tasks is joined to the values that need it."""
+    rows = [(f"g{i}", "está más aquí según él") for i in range(400)] + [(f"r{i}", "el ñandú corre") for i in range(9)] + [("x", "el √±and√∫ corre")]
+    df = spark.createDataFrame(rows, "id string, t string")
+    p = g.Channels(word_share=1 / 50)
+    words, common, total, *_ = g._statistics(df.selectExpr("id", "t AS text"), p)
+    assert "ñandú" not in common and ("ñandú", 9) in {(r["other"], r["n"]) for r in g._rarer(words, common, total, p).collect()}
+    assert {r["id"]: r["restaurado"] for r in garbled_values(df, "id", ["t"], p).collect()} == {"x": "el ñandú corre"}
