@@ -6,9 +6,9 @@ of terminators: every terminator that could end a sentence is a node with a scor
 and after it, abbreviations, ordinals, initials), a span between two nodes that would be no sentence
 (a bare label, part of a quotation) costs more than any score, and the best path gives the units.
 
-In scripts without spaces the gaps are found by terminators or, where the script has none, by white
-space; the words around a gap come from the best path through a lattice of dictionary words, and the
-gap divides unless the word before or after it (particle, connective, opening word) binds it.
+In scripts without spaces the gaps are found by terminators or, where a block has none of its script, by white
+space; the words around a gap come from the best path through a lattice of dictionary words, and final
+particles, connectives, opening words and the words' own habits at gaps say whether it divides (``spaceless``).
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fojas.llm.spaceless import HAS_LETTERS, IDEOGRAPHS, LETTERS, Gaps, Learning, after_gap, before_gap, learn
+
 # --- fixed values: abbreviations (without the last period, lower case) ---
 #: Never end a sentence.
 _NEVER = frozenset(
@@ -29,7 +30,7 @@ _NEVER = frozenset(
     res vl vol cap lit ord ej ex p pp ob cit aprox máx mín tel
     mr mrs ms messrs st fig figs sec secs incl e.g i.e vs approx ch para paras viz cf ref
     lda.ª n.º mme mmes mlle me mm circ al chap
-    abs nr ca vgl bzw z.b d.h u.a ziff str hr fr bd
+    abs nr ca mio mrd kl vgl bzw z.b d.h u.a ziff str hr fr bd
     ст стр ул им проф гл пп рис табл гг тыс млн см т.е
     κ κα κος δρ άρθρ παρ π.χ αρ αριθ σελ κεφ
     डॉ श्री पं प्रो
@@ -43,25 +44,16 @@ _MAY_END = frozenset("etc usw s.a c.a s.l s.a.s s.r.l ltd inc corp co bros lda c
 _ORDINAL = frozenset("der die das den dem des am vom zum beim im bis jeder jede ab seit".split())
 # --- end of fixed values ---
 
-# --- fixed values: dictionary of words at gaps in scripts without spaces ---
-#: A gap before or after these words doesn't end a sentence.
-_BINDS_BEFORE = frozenset("และ หรือ แต่ ที่ ซึ่ง อัน โดย ว่า ของ กับ แก่ แด่ ต่อ เพื่อ ได้แก่ เช่น เป็น คือ ณ จาก ถึง ตาม".split())
-_BINDS_AFTER = frozenset("ๆ ฯลฯ และ หรือ ซึ่ง โดย ว่า ของ กับ แก่ และ๐ ด้วย๐ บาท เวลาร์ ร้อยละ と って とは という との など は が を に で も の".split())
-_OPENS = frozenset("ผู้ ใน คณะกรรมการ มาตรา จำนวน หมวด ข้อ พันธบัตร เช็ค ทองคำ เงิน คำสั่ง ประกาศ หาก ถ้า เมื่อ เนื่องจาก อย่างไรก็ตาม ทั้งนี้ นอกจากนี้".split())
-_FINALS = frozenset("ครับ ค่ะ คะ นะ แล้ว ไหม หรือไม่ ช้า ถัดไป か ね よ ぞ わ な た る す ない 吗 呢 吧 了 啊".split())
-# --- end of fixed values ---
-_WORDS = _BINDS_BEFORE | _BINDS_AFTER | _OPENS | _FINALS
-_LONGEST = max(map(len, _WORDS))
-
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _FIRST = re.compile(r"[ \t]*([^ \t\r\n]+)")  # wrapping leaves no-break spaces alone
-_SPACELESS = re.compile(r"[฀-໿က-႟ក-៿]")
+_SPACELESS = re.compile(HAS_LETTERS)
 _GAP = re.compile(
-    r"""([.!?…;\u037e؟।॥۔]+(?:[»”“"’')\]」』]+|[ \u00a0\u202f]»)*)\s+(?=\S)|([。！？…]+[」』”’）"»]*)\s*(?=\S)"""
+    r"""([.!?…;\u037e؟।॥۔]+(?:[»”“"’')\]」』]+|[ \u00a0\u202f]»)*)\s+(?=\S)|([。！？…။។៕]+[」』”’）"»]*)\s*(?=\S)"""
     # the space is missing
     r"""|([.!?؟।](?<=[\w%)][\w%)].)[.!?]*[»”"’)]*)(?=[¿¡A-ZÀ-ÖØ-ÞΑ-ΫА-Яऄ-हء-ي][^\W\d_A-Z])"""
 )
-_GAP_THAI = re.compile(_GAP.pattern + r"|(?<=[฀-໿က-႟ក-៿0-9])()\s+(?=[฀-໿က-႟ក-៿])")
+_GAP_THAI = re.compile(_GAP.pattern + rf"|(?<=[{LETTERS}0-9])()\s+(?=[{LETTERS}])")
+_STOPS = re.compile("[။។៕]")
 _QUOTE = re.compile(r"[«»“”„\"()（）「」『』\[\]]")
 _CLOSES = {"»": "«", "”": "“", "）": "（", "」": "「", "』": "『", ")": "(", "]": "["}
 _TOKEN = re.compile(r"[^\s(«“„\"\[¿¡'’]+$")
@@ -74,11 +66,14 @@ _LABEL_CHARS = 26
 _OPENERS = "«“„\"(（「『[¿¡'‘-–—*•"
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Offsets (start, end) of the units of a text; together they cover all but white space."""
+_UNLEARNT = Gaps()
+
+
+def sentence_spans(text: str, gaps: Gaps = _UNLEARNT) -> list[tuple[int, int]]:
+    """Offsets (start, end) of the units of a text; together they cover all but white space. ``gaps``: what was learnt of scripts without spaces."""
     out: list[tuple[int, int]] = []
     for lo, hi in _blocks(text):
-        _units(text, lo, hi, out)
+        _units(text, lo, hi, out, gaps)
     return out
 
 
@@ -142,33 +137,6 @@ def _quotations(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
     return spans
 
 
-@lru_cache(maxsize=100_000)
-def _lattice(text: str) -> tuple[str, ...]:
-    """The words of a short text: the path through the dictionary's lattice with the least unknown letters, then words."""
-    best: list[tuple[int, int, int]] = [(0, 0, 0)]  # unknown letters, words, start of the last word
-    for i in range(1, len(text) + 1):
-        u, w, _ = best[i - 1]
-        top = (u + 1, w + 1, i - 1)
-        for j in range(max(0, i - _LONGEST), i):
-            if text[j:i] in _WORDS:
-                top = min(top, (best[j][0], best[j][1] + 1, j))
-        best.append(top)
-    words, i = [], len(text)
-    while i:
-        words.append(text[best[i][2] : i])
-        i = best[i][2]
-    return tuple(reversed(words))
-
-
-@lru_cache(maxsize=100_000)
-def _gap_binds(left: str, right: str) -> bool:
-    """Whether the words at a gap of a script without spaces keep it within one sentence."""
-    before, after = _lattice(left), _lattice(right)
-    if after and after[0] in _OPENS or before and before[-1] in _FINALS:
-        return False
-    return bool(after) and (after[0] in _BINDS_BEFORE or after[0] in "ๆฯ") or bool(before) and before[-1] in _BINDS_BEFORE
-
-
 def _opens(text: str, i: int, hi: int) -> int:
     """1 if what starts at i could open a sentence, 0 if it goes on, 2 if it is a number."""
     while i < hi and (text[i] in _OPENERS or text[i].isspace()):
@@ -183,7 +151,7 @@ def _opens(text: str, i: int, hi: int) -> int:
     return int(c.isalpha() or c in "§№#@$€" or not c.isascii())
 
 
-def _score(text: str, lo: int, g: int, end: int, nxt: int, hi: int, unit: int) -> int:
+def _score(text: str, lo: int, g: int, end: int, nxt: int, hi: int, unit: int, gaps: Gaps) -> int:
     """How surely the terminator at g (whose gap runs from end to nxt) ends a sentence: 2, 1 or 0 for not."""
     c = text[g]
     if c in "。！？":
@@ -192,11 +160,12 @@ def _score(text: str, lo: int, g: int, end: int, nxt: int, hi: int, unit: int) -
         return 2
     if c in "।॥۔؟":
         return 2
+    if c in "။។៕":
+        return 0 if text.startswith("។ល។", g) else 2  # "etc."
     if c in ";;":
         return 2 if "Ͱ" <= text[g - 1] <= "Ͽ" or "ἀ" <= text[g - 1] <= "῿" else 0
     if c == "…" and g > lo and ("぀" <= text[g - 1] <= "鿿"):
-        last = _lattice(text[max(lo, g - 6) : g])
-        return 2 if nxt >= hi or last and last[-1] in _FINALS else 0
+        return 2 if nxt >= hi or gaps.closed_by(before_gap(text, lo, g)) else 0
     opens = _opens(text, nxt, hi)
     if not opens:
         return 0
@@ -232,7 +201,7 @@ def _score(text: str, lo: int, g: int, end: int, nxt: int, hi: int, unit: int) -
     return 2
 
 
-def _units(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
+def _units(text: str, lo: int, hi: int, out: list[tuple[int, int]], gaps: Gaps) -> None:
     while lo < hi and text[lo].isspace():
         lo += 1
     while hi > lo and text[hi - 1].isspace():
@@ -243,6 +212,7 @@ def _units(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
     # nodes: (end of the unit before, start of the unit after, best sum, node before)
     ends, starts, best, came = [lo], [lo], [0.0], [-1]
     quotes: list[tuple[int, int]] | None = None
+    stops: bool | None = None
     closed: list[int] = []
     for m in gap.finditer(text, lo, hi):
         kind = m.lastindex
@@ -255,11 +225,13 @@ def _units(text: str, lo: int, hi: int, out: list[tuple[int, int]]) -> None:
             if q < len(quotes) and quotes[q][0] < end:
                 continue
         if kind == 4:
-            if _gap_binds(text[max(lo, g - 16) : g], text[nxt : min(hi, nxt + 16)]):
+            if stops is None:
+                stops = bool(_STOPS.search(text, lo, hi))
+            if stops or gaps.binds(before_gap(text, lo, g), after_gap(text, nxt, hi)):
                 continue
             score = 2
         else:
-            score = _score(text, lo, g, end, nxt, hi, starts[-1])
+            score = _score(text, lo, g, end, nxt, hi, starts[-1], gaps)
             if not score:
                 continue
         # the best node before: the last one, unless the span from there is a bare label
@@ -293,21 +265,27 @@ def _no_sentence(text: str, lo: int, hi: int) -> bool:
     return bool(_LABEL.fullmatch(text, lo, hi) or _MARK.fullmatch(text, lo, hi))
 
 
-def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sentences(docs: DataFrame, id_col: str, text_col: str, p: Learning = Learning()) -> DataFrame:
     """Units of every text: (id_col, inicio int, fin int), code points from 0, ``fin`` exclusive.
 
     The units of a text are in order, don't overlap, have no white space at either end and cover all
     else. Null, empty and blank texts have none; rows with a null id are left out; a text repeated
     under another id is treated as any other; a row repeated under one id gives its units once for
-    each row. Texts of any length are read whole. Other columns are ignored.
+    each row. Texts of any length are read whole. Other columns are ignored. The words of scripts without spaces are learnt
+    from all texts first; ``p`` bounds what is kept of them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    learnt = learn(base.filter(F.col("text").rlike(f"[{LETTERS}{IDEOGRAPHS}]")).select("text"), _blocks, p)
+    sent = docs.sparkSession.sparkContext.broadcast((learnt.words, learnt.opens, learnt.closes))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps = Gaps(*sent.value, p)
         for b in batches:
             at, lo, hi = [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
-                spans = sentence_spans(t)
+                spans = sentence_spans(t, gaps)
                 at += [i] * len(spans)
                 lo += [x for x, _ in spans]
                 hi += [x for _, x in spans]
@@ -316,7 +294,6 @@ def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     at, lo, hi = [], [], []
             yield _rows(b, at, lo, hi)
 
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL AND text <> ''")
     found = base.mapInArrow(run, f"id {kind}, inicio int, fin int")
     return found.select(F.col("id").alias(id_col), "inicio", "fin")
 

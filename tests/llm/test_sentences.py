@@ -4,7 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fojas.llm.sentences import sentence_spans, sentences
+from fojas.llm.sentences import _blocks, sentence_spans, sentences
+from fojas.llm.spaceless import Gaps, learn
 
 CASES = [
     ["El Sr. Pérez pagó Vl. 3.000, p. ej. hoy.", "No.", "2012 fue el año.", "iCanje opera ya."],
@@ -60,3 +61,43 @@ def test_table(spark):
     got = [tuple(r) for r in sentences(df, "doc", "t").collect()]
     assert [r for r in got if r[0] == 1] == [(1, 0, 4), (1, 5, 9)] and {r[0] for r in got} == {1, 4}
     assert sentences(df.limit(0), "doc", "t").count() == 0
+
+
+OUTSIDE = [
+    ["เขาชื่อ สมชาย ใจดี"], ["ผู้ถือต้องฝากเช็คภายในวันที่ 22 มกราคม 2560"], ["ผมกินข้าวแล้วครับ", "นอกจากนี้ ผมยังไม่ได้นอน"],
+    ["ຂ້ອຍຢູ່ວຽງຈັນ ແລະ ເຮັດວຽກ ຢູ່ໂຮງຮຽນ"], ["ລາວກັບບ້ານແລ້ວ", "ຖ້າຝົນຕົກ ຂ້ອຍບໍ່ໄປ"],
+    ["ខ្ញុំ ជាសិស្ស នៅភ្នំពេញ។", "គាត់ ជាគ្រូបង្រៀន។"], ["យើងមានផ្លែឈើ បន្លែ ។ល។", "គាត់ទៅផ្សារ។"],
+    ["ကျွန်တော် ကျောင်းသို့ သွားသည်။", "သူမ အိမ်သို့ ပြန်သည်။"],
+    ["Es sind 3.5 Mio. Euro.", "Das reicht."], ["Mødet er kl. 14.", "Det slutter snart."],
+]
+
+
+@pytest.mark.parametrize("units", OUTSIDE)
+def test_texts_from_elsewhere(units):
+    text = " ".join(units)
+    assert [text[a:b] for a, b in sentence_spans(text)] == units
+
+
+def test_words_and_gaps_are_learnt(spark):
+    """Of words that the fixed lists don't have, those that open paragraphs divide at a gap, those that never do don't."""
+    import random
+
+    draw = random.Random(4)
+    who, where, what = ["นกยูง", "ช้างป่า", "ลูกแมว", "หมาดำ"], ["เชียงใหม่", "ภูเก็ต", "สงขลา", "ระยอง"], ["กินผัก", "ดูเมฆ", "ฟังเพลง", "วิ่งเร็ว"]
+    sentence = lambda: f"{draw.choice(who)}{draw.choice(what)} {draw.choice(where)}{draw.choice(['มาก', 'น้อย', 'ดี'])}"
+    docs = [[[sentence() for _ in range(draw.randint(1, 3))] for _ in range(4)] for _ in range(150)]
+    rows = [(i, "\n\n".join(" ".join(block) for block in d)) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    gaps = learn(df.selectExpr("t AS text"), _blocks)
+    assert {"กินผัก", "ดูเมฆ"} & set(gaps.words) and gaps.path("นกยูงกินผัก")[0] in {"นก", "นกยูง"}
+    got = {}
+    for r in sentences(df, "id", "t").orderBy("id", "inicio").collect():
+        got.setdefault(r["id"], []).append(rows[r["id"]][1][r["inicio"] : r["fin"]])
+    want = {i: [s for block in d for s in block] for i, d in enumerate(docs)}
+    right = sum(len(set(want[i]) & set(got[i])) for i in want) / sum(len(set(x)) for x in want.values())
+    assert right > 0.95
+
+
+def test_lattice_prefers_whole_words():
+    gaps = Gaps({"中国": -3.0, "银行": -3.0, "国银": -6.0, "中": -5.0, "国": -5.0, "银": -5.0, "行": -5.0})
+    assert gaps.path("中国银行") == ["中国", "银行"] and Gaps().path("了") == ["了"] and Gaps().path("") == []
