@@ -35,4 +35,35 @@ def test_nothing_to_learn_from(spark):
 
 def test_runs():
     assert best_run([]) == (0, 0) and best_run([-1, -2]) == (0, 0) and best_run([-1, 2, -1, 3, -9, 4]) == (1, 4)
-    assert body_lines([-1, 5, -2, 5, -1]) == [False, True, False, True, False]
+    assert best_run([-9, 1, -3, 4, -1], 1) == (1, 4) and best_run([3, -1, -1], 0) == (0, 1)
+    assert body_lines([-1, 5, -2, 5, -1], -1, 9.0, 0.0) == [False, True, False, True, False]
+    assert body_lines([-1, 5, -2, 5, -1], -1, 9.0, 3.0) == [False, True, True, True, False]
+    assert body_lines([5, -9, 2, 3, -9, 1], 0, 1.0, 0.0) == [True, False, True, True, False, False]
+
+
+def foreign(i, draw):
+    """A German news page: other headings, no closing, menus and teasers of other pages."""
+    topics, towns = ["Haushalt", "Verkehr", "Wetter", "Schule", "Hafen", "Wald"], ["Kiel", "Husum", "Plön", "Eutin", "Leck", "Heide"]
+    name = lambda k: f"{draw.choice(topics)}: Rat von {draw.choice(towns)} berät über Plan {draw.randint(100, 999)}{k}"
+    verbs = ["beschloss gestern eine neue Ordnung für", "hörte am Abend zwei Gutachten über", "vertagte nach langer Rede den Antrag zu", "lobte in der Sitzung die Arbeit an"]
+    text = [f"Der Ausschuss in {draw.choice(towns)} {draw.choice(verbs)} {draw.choice(topics)} und Umgebung, wie das Protokoll Nummer {draw.randint(1, 9999)} festhält." for _ in range(draw.randint(2, 6))]
+    title = name("a")
+    lines = [("Startseite · Politik · Sport · Kultur", 0), ("Anmelden", 0)] + ([(f"Politik > {title}", 0)] if i % 2 else []) + [(title, 1), (f"Von der Redaktion, Stand {draw.randint(1, 28)}.3.2020, {draw.randint(1, 23)} Uhr", 0)]
+    for k, t in enumerate(text):
+        lines.append((t, 1))
+        if k == 0 and i % 3 == 0:
+            lines.append((f"Mehr zum Thema: {name('b')}", 0))
+    lines += [(f"Teilen ({draw.randint(1, 99)})", 0), ("Mehr aus der Region", 0), (name("c"), 0), (name("d"), 0), (f"Mehr zum Thema: {name('e')}", 0), ("Impressum | Datenschutz", 0)]
+    return title, lines
+
+
+def test_another_language_and_form(spark):
+    import random
+
+    draw = random.Random(5)
+    made = [foreign(i, draw) for i in range(300)]
+    rows = [(i, f"s{i % 3}", t if i % 10 else None, "\n".join(l for l, _ in lines)) for i, (t, lines) in enumerate(made)]
+    df = spark.createDataFrame(rows, "id long, s string, titulo string, t string")
+    got = {tuple(r) for r in page_furniture(df, "id", "t", F.col("s"), F.col("titulo")).collect()}
+    want = {(i, n) for i, (_, lines) in enumerate(made) for n, (_, keep) in enumerate(lines, 1) if not keep}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
