@@ -1,7 +1,8 @@
 """The k most similar vectors for every vector, by an adaptive dimension scan of inverted lists.
 
-Centroids are fitted on a bounded sample; every vector is then put into the list of its nearest
-centroid and looks for partners in that list and in those whose centroid is almost as near. Vectors
+Centroids are fitted on samples; their number grows with the root of the number of vectors, so lists and work stay in
+proportion: what the driver can't fit alone is fitted cell by cell in tasks. Every vector is then put into the list of its nearest
+centroid and looks for partners in that list and in all those whose centroid is almost as near. Vectors
 are turned by one random rotation, so that the first columns of two of them estimate their whole
 distance: a candidate is given up as soon as a hypothesis test on that estimate says that it can't
 be among the k best, and only the rest are read to the end.
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,33 +29,38 @@ from fojas.plans.lineage import broadcast_if_small, written
 
 @dataclass(frozen=True)
 class Search:
-    """Parameters. The sample bounds what the driver holds: ``sample`` vectors and ``most_lists`` centroids."""
+    """Parameters. The driver fits on ``sample`` vectors (34 MB); it holds and sends one centroid a list: 640 bytes times the root of the number of vectors, 20 MB for 10^9."""
 
     k: int = 5
     dim: int = 128
     sample: int = 65_536
-    most_lists: int = 4_096
     lists_per_root: float = 1.25  #: lists = this times the root of the number of vectors,
     rows_per_list: int = 64  #: but no more than one for so many vectors
     rounds: int = 8
-    near: float = 0.15  #: also probe lists whose squared distance exceeds the nearest one's by this share,
+    sample_of_list: int = 48  #: vectors that a centroid is fitted on
+    near: float = 0.8  #: also probe lists whose squared distance exceeds the nearest one's by this share,
     enough: int = 8  #: and further ones until the lists probed hold this many times k + 1 vectors
-    most_probes: int = 16
     block: int = 8_192  #: most vectors of a block; most queries of a task are four times that
     step: int = 32  #: columns read between two tests
     strict: float = 2.1  #: width of the hypothesis test; larger gives up fewer candidates
     seed: int = 7
 
 
-def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are usable, and these as vectors of length 1."""
+def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that are usable, these as they are, and as vectors of length 1 in double precision."""
     column = column.cast(pa.list_(pa.float32()))
     ok = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False) & (column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == dim))
     flat = column.take(pa.array(ok)).flatten().fill_null(math.nan)
-    v = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    raw = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    v = raw.astype(np.float64)
     size = np.linalg.norm(v, axis=1)
     fine = np.isfinite(size) & (size > 0)
-    return ok[fine], (v[fine] / size[fine, None]).astype(np.float32)
+    return ok[fine], raw[fine], v[fine] / size[fine, None]
+
+
+def _exact(raw: pa.Array, dim: int) -> np.ndarray:
+    v = np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(-1, dim).astype(np.float64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def _rotation(p: Search) -> np.ndarray:
@@ -74,6 +81,62 @@ def _centroids(sample: np.ndarray, lists: int, p: Search) -> np.ndarray:
     return c
 
 
+def _nearest(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The index of the centroid nearest to each vector."""
+    step = max(1, (1 << 23) // len(c))
+    return np.concatenate([np.argmax(v[i : i + step] @ c.T, axis=1) for i in range(0, len(v), step)]) if len(v) else np.zeros(0, np.int64)
+
+
+def _probes(v: np.ndarray, c: np.ndarray, counts: np.ndarray, p: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, rank, list): all lists almost as near as the nearest, and the next ones while those hold too few vectors."""
+    dist = 2 - 2 * (v @ c.T)
+    keep = dist <= np.maximum(dist.min(axis=1, keepdims=True), 1e-6) * (1 + p.near)
+    few = np.flatnonzero(keep @ counts < p.enough * (p.k + 1))
+    order = np.argsort(dist[few], axis=1, kind="stable")
+    width = 1 + (np.cumsum(counts[order], axis=1) < p.enough * (p.k + 1)).sum(axis=1)
+    a, r = np.nonzero(np.arange(len(c)) < width[:, None])
+    keep[few[a], order[a, r]] = True
+    at, chosen = np.nonzero(keep)
+    o = np.lexsort((dist[at, chosen], at))
+    at, chosen = at[o], chosen[o]
+    return at, np.arange(len(at)) - np.searchsorted(at, at), chosen
+
+
+def _fitted(rows: DataFrame, n: int, lists: int, turn: np.ndarray, p: Search) -> np.ndarray:
+    """About ``lists`` centroids, fitted on vectors drawn by the hash of their id.
+
+    The driver fits as many as its sample is enough for. If more are needed, these are cells, each of which is divided by a fit
+    on its own part of a larger sample, in a task, at most ``p.sample`` vectors of a cell.
+    """
+    def drawn(size: int) -> DataFrame:
+        share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 0.9 * size / max(n, 1)) * (1 << 30)))
+        return rows.filter(share).select("id", "vector")
+
+    first = min(lists, p.sample // p.sample_of_list)
+    table = drawn(first * p.sample_of_list).limit(p.sample).toArrow().sort_by("id")  # by the ids' hash; the limit is only a guard
+    sample = _unit(table.column("vector").combine_chunks(), p.dim)[2].astype(np.float32) if len(table) else np.zeros((0, p.dim), np.float32)
+    if not len(sample):
+        sample = np.eye(1, p.dim, dtype=np.float32)
+    cells = _centroids(sample @ turn, min(first, len(sample)), p)
+    if lists <= first:
+        return cells
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = (_unit(b.column("vector"), p.dim)[2] @ turn).astype(np.float32)
+            yield pa.record_batch({"cell": pa.array(_nearest(v, cells).astype(np.int32)), "unit": pa.array([x.tobytes() for x in v], pa.binary())})
+
+    def divide(t: pa.Table) -> pa.Table:
+        v = np.frombuffer(b"".join(sorted(t.column("unit").to_pylist())), np.float32).reshape(-1, p.dim)
+        c = _centroids(v, max(1, min(round(len(v) / p.sample_of_list), len(v))), p)
+        return pa.table({"unit": pa.array([x.tobytes() for x in c.astype(np.float32)], pa.binary())})
+
+    most = F.row_number().over(Window.partitionBy("cell", "salt").orderBy("unit")) <= p.sample // 16
+    placed = drawn(lists * p.sample_of_list).mapInArrow(place, "cell int, unit binary").withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(16)))
+    fine = placed.withColumn("few", most).filter("few").select("cell", "unit").groupBy("cell").applyInArrow(divide, "unit binary").toArrow()
+    return np.frombuffer(b"".join(sorted(fine.column("unit").to_pylist())), np.float32).reshape(-1, p.dim)
+
+
 def _blocks(c: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
     """The block of every list: lists are halved along their widest direction until a block holds at most ``most`` rows."""
     block, todo, n = np.zeros(len(c), np.int64), [np.arange(len(c))], 0
@@ -89,8 +152,8 @@ def _blocks(c: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
     return block
 
 
-def _scan(q: np.ndarray, known: np.ndarray, base: np.ndarray, p: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, base row, dot) of the pairs that no test gave up; ``known``: each query's k-th best dot so far.
+def _scan(q: np.ndarray, known: np.ndarray, base: np.ndarray, q_exact: np.ndarray, exact: np.ndarray, p: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, base row, dot) of the pairs that no test gave up; ``known``: each query's k-th best dot so far; dots in double precision.
 
     The k + 1 rows that are nearest in the first columns (one may be the query itself) are read to the
     end at once, so that even the first list has a limit to test against.
@@ -110,13 +173,15 @@ def _scan(q: np.ndarray, known: np.ndarray, base: np.ndarray, p: Search) -> tupl
         if d < p.dim:
             stay = left * (p.dim / d) <= ((1 + p.strict / math.sqrt(d)) * limit[a]) ** 2
             a, b, left = a[stay], b[stay], left[stay]
-    return a, b, np.einsum("ij,ij->i", q[a], base[b], dtype=np.float64)
+    return a, b, np.einsum("ij,ij->i", q_exact[a], exact[b])
 
 
-def _search(base_id: np.ndarray, base: np.ndarray, base_list: np.ndarray, query_id: np.ndarray, query: np.ndarray, probes: list[np.ndarray], p: Search) -> pd.DataFrame:
+def _search(base_id: np.ndarray, base_exact: np.ndarray, base_list: np.ndarray, query_id: np.ndarray, query_exact: np.ndarray, probes: list[np.ndarray], p: Search) -> pd.DataFrame:
     """The best k of the base for each query, from the lists it probes (nearest first), never itself."""
     order = np.lexsort((base_id, base_list))
-    base_id, base, base_list = base_id[order], base[order], base_list[order]
+    base_id, base_exact, base_list = base_id[order], base_exact[order], base_list[order]
+    turn = _rotation(p)
+    base, query = (base_exact @ turn).astype(np.float32), (query_exact @ turn).astype(np.float32)
     lists, start = np.unique(base_list, return_index=True)
     stop = dict(zip(lists, np.append(start[1:], len(base_list)), strict=True))
     start = dict(zip(lists, start, strict=True))
@@ -134,7 +199,7 @@ def _search(base_id: np.ndarray, base: np.ndarray, base_list: np.ndarray, query_
                 some = own[i : i + 1024]
                 for j in range(lo, hi, 4096):
                     to = min(j + 4096, hi)
-                    a, b, dot = _scan(query[some], np.maximum(best[some, k - 1], -1), base[j:to], p)
+                    a, b, dot = _scan(query[some], np.maximum(best[some, k - 1], -1), base[j:to], query_exact[some], base_exact[j:to], p)
                     keep = query_id[some][a] != base_id[j:to][b]
                     a, b, dot = a[keep], b[keep], np.round(dot[keep], 7)
                     # the k best of each query among the new ones, then against those it has
@@ -163,47 +228,31 @@ def similar_vectors(vectors: DataFrame, id_col: str, vector_col: str, p: Search
     all zero; other rows, null ids and null vectors give no rows and are nobody's neighbour. Of
     equal cosines (to 7 digits) the lower id comes first. Of rows under the same id one
     counts, the one with the lowest bytes; with fewer than k others all of them are given (lists that hold too few vectors are
-    joined by the next ones, ``p.most_probes`` at most). Other columns are ignored.
+    joined by the next ones). Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).filter(
         F.col("id").isNotNull() & (F.size("vector") == p.dim)
     )
     n = vectors.count()
-    lists = int(np.clip(min(p.lists_per_root * math.sqrt(n), n / p.rows_per_list), 1, p.most_lists))
-    size = min(p.sample, 48 * lists)
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 0.9 * size / max(n, 1)) * (1 << 30)))
-    drawn = rows.filter(share).select("id", "vector").limit(size).toArrow().sort_by("id")  # by the ids' hash; the limit is only a guard
-    sample = _unit(drawn.column("vector").combine_chunks(), p.dim)[1]
-    if not len(sample):
-        sample = np.eye(1, p.dim, dtype=np.float32)
+    lists = int(np.clip(min(p.lists_per_root * math.sqrt(n), n / p.rows_per_list), 1, None))
     turn = _rotation(p)
-    centroids = _centroids(sample @ turn, min(lists, len(sample)), p)
+    centroids = _fitted(rows, n, lists, turn, p)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, v = _unit(b.column("vector"), p.dim)
-            v = v @ turn
-            near = 2 - 2 * (v @ centroids.T)
-            most = min(p.most_probes, near.shape[1])
-            few = np.argpartition(near, most - 1, axis=1)[:, :most]
-            dist = np.take_along_axis(near, few, 1)
-            o = np.argsort(dist, axis=1, kind="stable")
-            few, dist = np.take_along_axis(few, o, 1), np.take_along_axis(dist, o, 1)
-            ok = dist <= np.maximum(dist[:, :1], 1e-6) * (1 + p.near)
-            ok[:, 0] = True
-            raw = [x.tobytes() for x in v]
-            probes = pa.ListArray.from_arrays(pa.array((np.arange(len(few) + 1) * most).astype(np.int32)), pa.array(few.astype(np.int32).ravel()))
-            yield pa.record_batch(
-                {"id": b.column("id").take(pa.array(at)), "unit": pa.array(raw, pa.binary()), "home": pa.array(few[:, 0].astype(np.int32)), "probes": probes, "near": pa.array(ok.sum(1).astype(np.int32))}
-            )
-
-    placed = written(rows.mapInArrow(assign, "id long, unit binary, home int, probes array<int>, near int"), "vectors")
+            at, raw, v = _unit(b.column("vector"), p.dim)
+            home = _nearest((v @ turn).astype(np.float32), centroids).astype(np.int32)
+            units = [x.tobytes() for x in v.astype(np.float32)]
+            x, y = (pa.array([xxhash.xxh64_intdigest(u, k) - (1 << 63) for u in units], pa.int64()) for k in (1, 2))
+            yield pa.record_batch({"id": b.column("id").take(pa.array(at)), "raw": pa.array([r.tobytes() for r in raw], pa.binary()), "home": pa.array(home), "x": x, "y": y})
+
+    placed = written(rows.mapInArrow(assign, "id long, raw binary, home int, x long, y long"), "vectors")
     if placed.count() > placed.select("id").distinct().count():  # repeated ids: the lowest vector stays
-        placed = placed.groupBy("id").agg(F.min(F.struct("unit", "home", "probes", "near")).alias("x")).select("id", "x.*")
+        placed = placed.groupBy("id").agg(F.min(F.struct("raw", "home", "x", "y")).alias("s")).select("id", "s.*")
         placed = written(placed, "unique")
     # equal vectors: the lowest id stands for all; the k + 1 lowest ids are all that can be answers
-    same = placed.select("id", F.xxhash64("unit").alias("x"), F.xxhash64(F.lit(1), "unit").alias("y")).distinct()
+    same = placed.select("id", "x", "y")
     several = same.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1").select("x", "y", "first")
     several = written(several, "equal")
     members = None
@@ -212,57 +261,58 @@ def similar_vectors(vectors: DataFrame, id_col: str, vector_col: str, p: Search
         later = members.filter("id <> first").select("id")
         placed = placed.join(broadcast_if_small(later), "id", "left_anti")
     counts = np.zeros(len(centroids), np.int64)
-    for r in placed.groupBy("home").count().collect():  # at most ``most_lists`` rows
+    for r in placed.groupBy("home").count().collect():  # a row for each list
         counts[r["home"]] = r["count"]
     block = _blocks(centroids, counts, p.block)
     parts = np.maximum(1, np.ceil(np.bincount(block, counts) / p.block)).astype(int)
     layout = spark.createDataFrame([(i, int(block[i]), int(parts[block[i]])) for i in range(len(block))], "list int, block int, parts int")
-    layout = F.broadcast(layout)  # at most ``most_lists`` rows
+    layout = broadcast_if_small(layout)  # a row for each list
     base = (
         placed.join(layout, placed["home"] == layout["list"])
-        .select("block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", "unit", "home", F.lit(None).cast("array<int>").alias("probes"))
+        .select("block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", "raw", "home", F.lit(None).cast("array<int>").alias("probes"))
     )
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 23) // len(centroids))
         for b in batches:
-            if not b.num_rows:
-                continue
-            probes = b.column("probes").flatten().to_numpy().reshape(b.num_rows, -1)
-            width = np.maximum(b.column("near").to_numpy(), 1 + (np.cumsum(counts[probes], axis=1) < p.enough * (p.k + 1)).sum(1))
-            keep = np.arange(probes.shape[1]) < width[:, None]
-            at, nth = np.nonzero(keep)
-            yield pa.record_batch({"id": b.column("id").take(pa.array(at)), "nth": pa.array(nth.astype(np.int32)), "list": pa.array(probes[keep])})
+            v = (_exact(b.column("raw"), p.dim) @ turn).astype(np.float32)
+            for i in range(0, len(v), step):
+                at, nth, chosen = _probes(v[i : i + step], centroids, counts, p)
+                yield pa.record_batch({"id": b.column("id").take(pa.array(at + i)), "nth": pa.array(nth.astype(np.int32)), "list": pa.array(chosen.astype(np.int32))})
 
     asked = (
-        placed.select("id", "probes", "near").mapInArrow(choose, "id long, nth int, list int")
+        placed.select("id", "raw").mapInArrow(choose, "id long, nth int, list int")
         .join(layout, "list")
         .groupBy("id", "block", "parts")
-        .agg(F.array_sort(F.collect_list(F.struct("nth", "list"))).alias("probes"))  # at most ``most_probes``
+        .agg(F.array_sort(F.collect_list(F.struct("nth", "list"))).alias("probes"))  # at most the lists of a block
         .select("id", "block", "parts", F.col("probes.list").alias("probes"))
     )
     loads = written(asked, "asked")
-    per = {r["block"]: r["n"] for r in loads.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``most_lists`` rows
-    slices = F.broadcast(spark.createDataFrame([(int(b), int(math.ceil(per.get(b, 1) / (4 * p.block)))) for b in range(int(block.max()) + 1)], "block int, slices int"))
+    per = {r["block"]: r["n"] for r in loads.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each block
+    cuts = [int(math.ceil(per.get(b, 1) / (4 * p.block))) for b in range(int(block.max()) + 1)]
+    slices = broadcast_if_small(spark.createDataFrame(list(enumerate(cuts)), "block int, slices int"))
+    tasks = sum(int(parts[b]) * cut for b, cut in enumerate(cuts))
     base = base.join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     query = (
-        loads.join(placed.select("id", "unit"), "id")
+        loads.join(placed.select("id", "raw"), "id")
         .join(slices, "block")
         .select(
-            "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "unit", F.lit(None).cast("int").alias("home"), "probes",
+            "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "raw", F.lit(None).cast("int").alias("home"), "probes",
             F.pmod(F.xxhash64(F.lit(3), "id"), "slices").cast("int").alias("slice"),
         )
     )
 
     def search(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        units = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float32).reshape(-1, p.dim)
+        units = _exact(table.column("raw"), p.dim)
         home = table.column("home").to_pandas()
         is_base = home.notna().to_numpy()
         probes = [np.asarray(x) for x in table.column("probes").filter(pa.array(~is_base)).to_pylist()]
         out = _search(ids[is_base], units[is_base], home[is_base].to_numpy().astype(int), ids[~is_base], units[~is_base], probes, p)
         return pa.Table.from_pandas(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())]), preserve_index=False)
 
-    found = base.unionByName(query).groupBy("block", "part", "slice").applyInArrow(search, "a long, b long, cosine double")
+    # as many partitions as groups: a task's input stays bounded however many vectors there are
+    found = base.unionByName(query).repartition(tasks, "block", "part", "slice").groupBy("block", "part", "slice").applyInArrow(search, "a long, b long, cosine double")
     if members is not None:
         found = _with_equals(found, members, p.k)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))

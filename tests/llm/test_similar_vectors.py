@@ -47,3 +47,17 @@ def test_small_and_empty(spark):
 def test_numbers_that_are_none(spark, bad):
     got = similar_pairs(table(spark, [(1, [1, 0]), (2, [bad, 0]), (3, [1, 1])]), "pos", "vector", Search(dim=2)).collect()
     assert [tuple(x) for x in got] == [(1, 3)]
+
+
+def test_cells_divided_in_tasks(spark):
+    """More lists than the driver's sample is enough for are fitted cell by cell."""
+    rng = np.random.default_rng(2)
+    centers = rng.standard_normal((60, 16))
+    v = (centers[rng.integers(0, 60, 4000)] + 0.3 * rng.standard_normal((4000, 16))).astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j)) for i in range(4000) for j in np.argsort(-s[i], kind="stable")[:5]}
+    p = Search(dim=16, sample=320, sample_of_list=32, rows_per_list=32, block=512)
+    found = {(x["id"], x["neighbour"]) for x in similar_vectors(table(spark, list(enumerate(v))), "pos", "vector", p).collect()}
+    assert len(found & want) >= 0.95 * len(want)
