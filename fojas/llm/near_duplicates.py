@@ -4,6 +4,10 @@ Records with the same set of shingles form a class; classes that agree in a band
 are candidates. Of a candidate pair the values are compared a few at a time, and the pair is given
 up when the posterior probability that its similarity reaches the threshold falls below a tolerance.
 What remains is verified on the whole shingle sets.
+
+Text that many records share, like a notice, makes bands that a great part of all classes agree in. Such a band isn't paired:
+its classes are candidates where they share one of their rarest shingles, of which every pair that reaches the threshold
+has one in common, however the rest agrees.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fojas.plans.lineage import broadcast_if_small, written
@@ -32,7 +36,7 @@ class Near:
     rows: int = 4  #: MinHash values of a band
     step: int = 16  #: values compared between two looks at the posterior
     tolerance: float = 1e-4  #: a pair is given up below this posterior probability
-    bucket: int = 256  #: larger buckets are compared in blocks of this many classes
+    bucket: int = 256  #: the classes of larger buckets are paired by their rarest shingles instead
     seed: int = 11
 
 
@@ -182,50 +186,26 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, p: Near =
     )
     pairs = written(pairs, "pairs")
     values = heads.select("id", "values")
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
-    own = values.join(broadcast_if_small(asked), "id", "left_semi")
-    pairs = pairs.join(own.select(F.col("id").alias("a"), F.col("values").alias("one")), "a").join(own.select(F.col("id").alias("b"), F.col("values").alias("two")), "b")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = pa.array(_pruned(_matrix(batch.column("one"), width), _matrix(batch.column("two"), width), needed))
             yield pa.record_batch({"a": batch.column("a").take(keep), "b": batch.column("b").take(keep)})
 
-    alive = pairs.mapInArrow(prune, f"a {kind}, b {kind}")
-    many = met.filter(F.col("rows") > p.bucket)
+    many = met.filter(F.col("rows") > p.bucket).select("id").distinct()
     if many.limit(1).count():
-        alive = alive.unionByName(_hot_pairs(many, values, kind, width, needed, p)).distinct()
+        by_shingles = _rare_pairs(written(many, "hot"), heads.select("id", "x"), base, kind, p)
+        pairs = written(pairs.unionByName(by_shingles).distinct(), "both")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    own = values.join(broadcast_if_small(asked), "id", "left_semi")
+    pairs = pairs.join(own.select(F.col("id").alias("a"), F.col("values").alias("one")), "a").join(own.select(F.col("id").alias("b"), F.col("values").alias("two")), "b")
+    alive = pairs.mapInArrow(prune, f"a {kind}, b {kind}")
     alive = written(alive, "alive")
     return _verified(alive, heads.select("id", "x"), base, kind, p), members
 
 
-def _hot_pairs(many: DataFrame, values: DataFrame, kind: str, width: int, needed: list[tuple[int, int]], p: Near) -> DataFrame:
-    """Pairs of large buckets that are not given up: a bucket is cut into blocks, a task compares two of them."""
-    blocks = F.ceil(F.col("rows") / p.bucket).cast("int")
-    placed = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n").join(values, "id")
-
-    def compare(t: pa.Table) -> pa.Table:
-        v, n = _matrix(t.column("values"), width), t.column("n").to_numpy()
-        own, ids = t.column("own").to_numpy(), np.array(t.column("id").to_pylist())
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        a, b = [], []
-        for i in left:
-            j = right[(ids[right] > ids[i]) if lo == hi else (ids[right] != ids[i])]
-            j = j[np.minimum(n[j], n[i]) >= p.threshold * np.maximum(n[j], n[i])]
-            j = j[_pruned(np.broadcast_to(v[i], (len(j), width)), v[j], needed)]
-            a += [min(ids[i], x) for x in ids[j]]
-            b += [max(ids[i], x) for x in ids[j]]
-        value_type = t.schema.field("id").type
-        return pa.table({"a": pa.array(a, value_type), "b": pa.array(b, value_type)})
-
-    return placed.groupBy("band", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
-
-
-def _verified(alive: DataFrame, heads: DataFrame, base: DataFrame, kind: str, p: Near) -> DataFrame:
-    """The pairs whose whole shingle sets reach the threshold, with the similarity."""
+def _shingle_sets(wanted: DataFrame, base: DataFrame, kind: str, p: Near) -> DataFrame:
+    """(id, shingles binary) of the classes in ``wanted (id, x)``: of an id with several texts, the one whose shingles hash to x."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -235,10 +215,40 @@ def _verified(alive: DataFrame, heads: DataFrame, base: DataFrame, kind: str, p:
             keep = pa.array([i for i, x in enumerate(batch.column("x").to_pylist()) if x == own[i]], pa.int64())
             yield pa.record_batch({"id": batch.column("id").take(keep), "shingles": pa.array(raw, pa.binary()).take(keep)})
 
-    wanted = alive.select(F.col("a").alias("id")).unionByName(alive.select(F.col("b").alias("id"))).distinct()
-    wanted = written(wanted.join(heads, "id"), "wanted")
     texts = base.join(broadcast_if_small(wanted), "id").mapInArrow(sets, f"id {kind}, shingles binary")
-    whole = written(texts.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    return written(texts.groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _rare_pairs(hot: DataFrame, heads: DataFrame, base: DataFrame, kind: str, p: Near) -> DataFrame:
+    """Pairs (a, b) of the classes in ``hot (id)`` that share one of their rarest shingles, and could reach the threshold by their sizes.
+
+    If the shingles of all sets are put in one order, the rarest first, two sets of n and m shingles with similarity t or
+    more share at least one of the first n - ceil(t n) + 1 and m - ceil(t m) + 1 of theirs.
+    """
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(batch.column("shingles").to_pylist()):
+                x = np.frombuffer(raw, np.int64)
+                ids = batch.column("id").take(pa.array(np.full(len(x), i)))
+                yield pa.record_batch({"id": ids, "n": pa.array(np.full(len(x), len(x), np.int32)), "shingle": pa.array(x)})
+
+    sets = _shingle_sets(written(hot.join(heads, "id"), "hot_heads"), base, kind, p)
+    rows = sets.mapInArrow(single, f"id {kind}, n int, shingle long")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("docs", "shingle"))  # a group is the shingles of one text
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(p.threshold - 1e-9)) + 1
+    rare = written(rows.join(often, "shingle").withColumn("place", place).filter((F.col("place") <= first) & (F.col("docs") > 1)).select("shingle", "id", "n"), "rare")
+    other = rare.select("shingle", F.col("id").alias("b"), F.col("n").alias("m"))
+    fits = (F.col("id") < F.col("b")) & (F.least("n", "m") >= p.threshold * F.greatest("n", "m"))
+    return rare.join(other, "shingle").filter(fits).select(F.col("id").alias("a"), "b").distinct()
+
+
+def _verified(alive: DataFrame, heads: DataFrame, base: DataFrame, kind: str, p: Near) -> DataFrame:
+    """The pairs whose whole shingle sets reach the threshold, with the similarity."""
+
+    wanted = alive.select(F.col("a").alias("id")).unionByName(alive.select(F.col("b").alias("id"))).distinct()
+    whole = _shingle_sets(written(wanted.join(heads, "id"), "wanted"), base, kind, p)
     pairs = alive.join(whole.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a").join(
         whole.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b"
     )

@@ -62,3 +62,19 @@ def test_long_chain_is_one_group(spark):
     assert sum(r["links"] for r in got) == 2 * 999 and sorted(r["id"] for r in got) == list(range(1000))
     groups = {r["group"] for r in got}
     assert groups == {0}, f"{len(groups)} groups"
+
+
+def test_a_notice_in_every_text(spark):
+    """A notice that all texts share makes bands of all of them; only texts that are alike in the rest are paired."""
+    rng = np.random.default_rng(7)
+    notice = " ".join(f"aviso{i}" for i in range(80))
+    rows = []
+    for i in range(120):
+        own = [f"w{x}" for x in rng.integers(0, 100_000, 60)]
+        rows += [(f"a{i:03}", notice + " " + " ".join(own)), (f"b{i:03}", notice + " " + " ".join(own[:52] + ["x", "y"]))]
+    df = spark.createDataFrame(rows, "id string, t string")
+    s = {i: shingles(t, 3) for i, t in rows}
+    ids = sorted(s)
+    want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(s[a] & s[b]) / len(s[a] | s[b]) >= 0.6}
+    got = {tuple(x) for x in all_pairs(df, "id", "t", Near(words=3, threshold=0.6, bucket=16)).collect()}
+    assert got == want and len(want) == 120
