@@ -105,24 +105,36 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(packed(_table(spark, sf, "documents"), "doc_id", "text"))
 
 
+def _goals(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "mezcla_objetivo").select("source", F.col("peso_objetivo").alias("share"), F.col("max_repeticiones").alias("cap"))
+
+
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from fojas.llm.mixing import mixed
 
-    goals = _table(spark, sf, "mezcla_objetivo").select("source", F.col("peso_objetivo").alias("share"), F.col("max_repeticiones").alias("cap"))
+    goals = _goals(spark, sf)
     return mixed(_table(spark, sf, "documents"), "doc_id", "text", "source", F.lower(F.trim("lang")), F.lower(F.trim("materia")), goals)
 
 
 def p7_uses(spark: SparkSession, sf: str) -> DataFrame:
     """How often every text is used."""
-    return _mixed(spark, sf)[0].toDF("doc_id", "source", "tokens", "usos")
+    return _mixed(spark, sf)[0].select("id", "source", "tokens", "uses").toDF("doc_id", "source", "tokens", "usos")
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     """The share of the tokens that every source reaches."""
-    found = _mixed(spark, sf)[1].toDF("source", "peso_objetivo", "peso_posible", "max_repeticiones", "textos", "tokens", "usados", "peso_alcanzado")
+    found = _mixed(spark, sf)[1].toDF("source", "peso_objetivo", "peso_posible", "max_repeticiones", "limita", "textos", "tokens", "usados", "peso_alcanzado")
     return found.withColumns({c: F.round(c, 6) for c in ("peso_posible", "peso_alcanzado")})
 
 
+def p7_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares of languages and topics, in the sources' texts and in what is used."""
+    from fojas.llm.mixing import margins
+
+    found = margins(_mixed(spark, sf)[0], _goals(spark, sf)).toDF("lado", "valor", "peso_objetivo", "peso_alcanzado")
+    return found.withColumns({c: F.round(c, 6) for c in ("peso_objetivo", "peso_alcanzado")})
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sentence units of every document."""
     from fojas.llm.sentences import sentences
@@ -131,7 +143,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_similar": p2_similar, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_body": p4_body, "p5_found": p5_found, "p5_groups": p5_groups, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_similar": p2_similar, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_body": p4_body, "p5_found": p5_found, "p5_groups": p5_groups, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_uses": p7_uses, "p7_shares": p7_shares, "p7_margins": p7_margins, "p8_found": p8_found}
 
 
 _SITE = r"nullif(regexp_extract(lower(trim(fuente_url)), '^(?:[a-z][a-z0-9+.\-]*://|//)?(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)', 1), '')"

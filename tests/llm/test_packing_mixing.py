@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fojas.llm.mixing import Mix, mixed
+from fojas.llm.mixing import Mix, margins, mixed
 from fojas.llm.packing import Pack, fill_report, packed, plan
 from fojas.llm.tokens import RANKS, encoding
 
@@ -75,3 +75,13 @@ def test_mix_short_of_text(spark, docs):
     assert {r["uses"] for r in uses.filter("source = 'a' AND tokens > 0").collect()} == {1} and shares.count() == 2
     none, empty = mixed(docs.limit(0), "id", "text", "source", F.col("lang"), F.lit("t"), goals(spark, [("a", 1.0, 1)]))
     assert none.count() == 0 and empty.first()["reached"] == 0
+
+
+def test_margins_and_the_source_that_limits(spark, docs):
+    targets = goals(spark, [("a", 0.6, 3), ("b", 0.4, 3)])
+    uses, shares = mixed(docs, "id", "text", "source", F.col("lang"), F.lit(None), targets)
+    assert sum(r["limits"] for r in shares.collect()) == 1
+    got = {(r["side"], r["value"]): r for r in margins(uses, targets).collect()}
+    assert abs(sum(r["target"] for (side, _), r in got.items() if side == "lang") - 1) < 1e-9
+    assert abs(sum(r["reached"] for (side, _), r in got.items() if side == "lang") - 1) < 1e-9
+    assert all(abs(r["target"] - r["reached"]) < 0.05 for r in got.values())
