@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,10 +45,20 @@ def _lexical(s: SparkSession, sf: str) -> DataFrame:
     return lexical.scores(ix, _asked(s, sf), "qid", "query")
 
 
-def _hashed(s: SparkSession, sf: str) -> DataFrame:
-    base = _t(s, sf, "normativa").select("pos", vectors.hash_encode(F.col("texto"), DIM).alias("vector")).filter(F.exists("vector", lambda x: x != 0))
-    asked = _asked(s, sf).select("qid", vectors.hash_encode(F.col("query"), DIM).alias("vector")).filter(F.exists("vector", lambda x: x != 0))
-    return dense.cosine_scores(base, asked)
+def _encoded(s: SparkSession, sf: str, dim: int = DIM) -> tuple[DataFrame, DataFrame]:
+    """Hashed vectors of the objects (pos, vector) and of the queries (qid, vector)."""
+    base = _t(s, sf, "normativa").select("pos", vectors.hash_encode(F.col("texto"), dim).alias("vector")).filter(F.exists("vector", lambda x: x != 0))
+    asked = _asked(s, sf).select("qid", vectors.hash_encode(F.col("query"), dim).alias("vector")).filter(F.exists("vector", lambda x: x != 0))
+    return index.written(base, "vectors"), index.written(asked, "asked")
+
+
+def _hashed(s: SparkSession, sf: str, k: int | None = None) -> DataFrame:
+    return dense.cosine_scores(*_encoded(s, sf), k)
+
+
+def _hybrid(s: SparkSession, sf: str, alpha: float) -> DataFrame:
+    found = fusion.best_linear(_lexical(s, sf), *_encoded(s, sf), alpha, 10)
+    return found.select("qid", "pos", F.col("nth").cast("long").alias("nth"), F.round("score", 4).alias("score"))
 
 
 def _top(scored: DataFrame, k: int = 10) -> DataFrame:
@@ -283,6 +294,18 @@ def align_vectors_by_text(s, sf):
     return found.select("doc_id", "chunk_index", F.round(F.element_at("vector", 1).cast("double"), 4).alias("primero"))
 
 
+@_query
+def systematic_sample(s, sf):
+    """At most 500 pieces at equal steps of their order, for a check of the whole index at a bounded cost."""
+    pieces = _t(s, sf, "chunks_ner").select("doc_id", "chunk_index").distinct()
+    return index.systematic_sample(pieces, [F.col("doc_id"), F.col("chunk_index")], 500)
+
+
+@_query
+def schema_rows(s, sf):
+    return index.schema_rows(_t(s, sf, "normativa"))
+
+
 @_query
 def vector_checks(s, sf):
     return index.vector_checks(_t(s, sf, "normativa"))
@@ -328,7 +351,7 @@ def index_stats(s, sf):
 
 @_query
 def term_df(s, sf):
-    return lexical.postings(_t(s, sf, "normativa"), "pos", "texto").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("f").alias("f"))
+    return lexical.postings(_t(s, sf, "normativa"), "pos", "texto").filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("f").alias("f"))
 
 
 @_query
@@ -393,17 +416,17 @@ def hash_encode(s, sf):
 
 @_query
 def hybrid_linear(s, sf):
-    return _top(fusion.linear(_lexical(s, sf), _hashed(s, sf), 0.7))
+    return _hybrid(s, sf, 0.7)
 
 
 @_query
 def hybrid_alpha0(s, sf):
-    return _top(fusion.linear(_lexical(s, sf), _hashed(s, sf), 0.0))
+    return _hybrid(s, sf, 0.0)
 
 
 @_query
 def hybrid_alpha1(s, sf):
-    return _top(fusion.linear(_lexical(s, sf), _hashed(s, sf), 1.0))
+    return _hybrid(s, sf, 1.0)
 
 
 @_query
@@ -414,7 +437,7 @@ def hybrid_rrf(s, sf):
 
 @_query
 def candidate_union(s, sf):
-    return fusion.candidates(lexical.best(_lexical(s, sf), 20), lexical.best(_hashed(s, sf), 20))
+    return fusion.candidates(lexical.best(_lexical(s, sf), 20), lexical.best(_hashed(s, sf, 20), 20))
 
 
 # second stage
@@ -458,29 +481,32 @@ def eval_silver_set(s, sf):
     return evaluate.silver_queries(_t(s, sf, "chunks_ner"), 200)
 
 
-def _ranked(scored: DataFrame, objects: DataFrame) -> DataFrame:
-    top = lexical.best(scored, 50)
+def _ranked(scored: DataFrame, objects: DataFrame, k: int) -> DataFrame:
+    top = lexical.best(scored, k)
     return top.join(objects.select("pos", "doc_id"), "pos").select("qid", "doc_id", F.col("nth").alias("rank"))
 
 
 def _strategies(s: SparkSession, sf: str) -> DataFrame:
     objects, a, b = _t(s, sf, "normativa"), index.written(_lexical(s, sf), "lexical"), index.written(_hashed(s, sf), "dense")
-    out = None
-    for name, scored in (("keyword", a), ("semantic", b), ("hybrid_0.5", fusion.linear(a, b, 0.5)), ("hybrid_0.7", fusion.linear(a, b, 0.7))):
-        one = evaluate.metrics(_ranked(scored, objects), _relevant(s, sf), 5).withColumn("estrategia", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    relevant, h5, h7 = _relevant(s, sf), fusion.linear(a, b, 0.5), index.written(fusion.linear(a, b, 0.7), "fused")
+    ways = [("keyword", a), ("semantic", b), ("hybrid_0.5", h5), ("hybrid_0.7", h7)]
+    found = [evaluate.measures(evaluate.relevant_places(scored, objects, relevant), relevant, 5).withColumn("estrategia", F.lit(name)) for name, scored in ways]
+    second = rerank.rerank(lexical.best(h7, 30).join(objects.select("pos", "doc_id", "texto"), "pos").join(_asked(s, sf), "qid"), "query", "texto", 30)
+    ranked = second.select("qid", "doc_id", F.col("place").alias("rank"))
+    found.append(evaluate.metrics(ranked, relevant, 5).withColumn("estrategia", F.lit("hybrid_0.7_rerank")))
+    return reduce(DataFrame.unionByName, found)
 
 
 @_query
 def eval_metrics(s, sf):
-    found = evaluate.metrics(_ranked(_lexical(s, sf), _t(s, sf, "normativa")), _relevant(s, sf), 5)
+    relevant = _relevant(s, sf)
+    found = evaluate.measures(evaluate.relevant_places(_lexical(s, sf), _t(s, sf, "normativa"), relevant), relevant, 5)
     return found.select("qid", *[F.round(c, 4).alias(c) for c in ("recall", "precision", "rr", "ndcg")])
 
 
 @_query
 def eval_metrics_cut_first(s, sf):
-    found = evaluate.metrics(_ranked(_lexical(s, sf), _t(s, sf, "normativa")), _relevant(s, sf), 5, cut_first=True)
+    found = evaluate.metrics(_ranked(_lexical(s, sf), _t(s, sf, "normativa"), 5), _relevant(s, sf), 5, cut_first=True)
     return found.select("qid", *[F.round(c, 4).alias(c) for c in ("recall", "precision", "rr", "ndcg")])
 
 
@@ -489,6 +515,27 @@ def eval_by_strategy(s, sf):
     return evaluate.summary(_strategies(s, sf), ["estrategia"])
 
 
+@_query
+def eval_models(s, sf):
+    """The same measures for encoders of several sizes, by cosine alone."""
+    objects, relevant, found = _t(s, sf, "normativa"), _relevant(s, sf), []
+    for dim in (16, 32, 64):
+        places = evaluate.relevant_places(dense.cosine_scores(*_encoded(s, sf, dim)), objects, relevant)
+        found.append(evaluate.measures(places, relevant, 5).withColumn("estrategia", F.lit(f"hash_{dim}")))
+    return evaluate.summary(reduce(DataFrame.unionByName, found), ["estrategia"])
+
+
+@_query
+def eval_rerankers(s, sf):
+    """The same measures for the first stage's order of 30 candidates, and for that of the second stage."""
+    objects, relevant = _t(s, sf, "normativa"), _relevant(s, sf)
+    top = index.written(lexical.best(_lexical(s, sf), 30).join(objects.select("pos", "doc_id", "texto"), "pos").join(_asked(s, sf), "qid"), "candidates")
+    second = rerank.rerank(top, "query", "texto", 30).select("qid", "doc_id", F.col("place").alias("rank"))
+    ways = [("none", top.select("qid", "doc_id", F.col("nth").alias("rank"))), ("overlap", second)]
+    found = [evaluate.metrics(ranked, relevant, 5).withColumn("estrategia", F.lit(name)) for name, ranked in ways]
+    return evaluate.summary(reduce(DataFrame.unionByName, found), ["estrategia"])
+
+
 @_query
 def eval_best(s, sf):
     return evaluate.best_strategy(evaluate.summary(_strategies(s, sf), ["estrategia"]), F.col("estrategia")).select("estrategia", "ndcg")

@@ -39,8 +39,8 @@ def fold(text: Column) -> Column:
 
 def tokens(text: Column, stem: int = STEM, least: int = 2) -> Column:
     """Runs of at least ``least`` letters a-z and digits after :func:`fold`, each cut to ``stem`` characters; null gives an empty array."""
-    found = F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(f"([a-z0-9]{{{least},}})"), F.lit(1))
-    return F.transform(found, lambda t: F.substring(t, 1, stem)) if stem else found
+    pattern = f"([a-z0-9]{{{least},{stem}}})[a-z0-9]*" if stem else f"([a-z0-9]{{{least},}})"
+    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(1))
 
 
 def normalize_lines(text: Column) -> Column:

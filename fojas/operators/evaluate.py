@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fojas.functions.text import content_words, title_for_query
+from fojas.plans.lineage import broadcast_if_small, written
 
 
 def silver_queries(pieces: DataFrame, n: int, least: int = 200, words: int = 6) -> DataFrame:
@@ -31,6 +32,20 @@ def unique_ranking(ranked: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("r", "doc_id"))).select("qid", "doc_id", "rank")
 
 
+def relevant_places(scored: DataFrame, documents: DataFrame, relevant: DataFrame) -> DataFrame:
+    """(qid, doc_id, rank): the place of every relevant document in the whole ranking of documents by ``scored (qid, pos, score)``.
+
+    ``documents (pos, doc_id)`` names the document of a row; a document stands where its best row does. Places are counted, as
+    the documents ahead of the relevant one, so no query's rows are sorted in one task.
+    """
+    place = F.struct(F.round("score", 9).alias("s"), (-F.col("pos")).alias("p"))
+    best = scored.filter("score > 0").join(documents.select("pos", "doc_id"), "pos").groupBy("qid", "doc_id").agg(F.max(place).alias("place"))
+    best = written(best, "places")
+    wanted = best.join(relevant.select("qid", "doc_id").distinct(), ["qid", "doc_id"]).select("qid", F.col("doc_id").alias("wanted"), F.col("place").alias("own"))
+    ahead = best.join(broadcast_if_small(written(wanted, "wanted")), "qid").groupBy("qid", "wanted").agg((F.count_if(F.col("place") > F.col("own")) + 1).alias("rank"))
+    return ahead.withColumnRenamed("wanted", "doc_id")
+
+
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int, cut_first: bool = False) -> DataFrame:
     """Recall, precision, reciprocal rank and nDCG of every query in ``relevant (qid, doc_id)``: (qid, recall, precision, rr, ndcg).
 
@@ -40,7 +55,11 @@ def metrics(ranked: DataFrame, relevant: DataFrame, k: int, cut_first: bool = Fa
     if cut_first:
         ranked = ranked.filter(F.col("rank") <= k)
     ranked = unique_ranking(ranked)
-    hits = ranked.join(relevant.select("qid", "doc_id").distinct(), ["qid", "doc_id"])
+    return measures(ranked.join(relevant.select("qid", "doc_id").distinct(), ["qid", "doc_id"]), relevant, k)
+
+
+def measures(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """The measures of :func:`metrics` from the places of relevant documents, ``hits (qid, doc_id, rank)``."""
     size = relevant.groupBy("qid").agg(F.countDistinct("doc_id").alias("size"))
     near = F.col("rank") <= k
     per = hits.groupBy("qid").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,11 +36,33 @@ def pending(pieces: DataFrame, indexed: DataFrame, order: list[Column]) -> DataF
     return first_of_each(pieces.join(done, "doc_hash", "left_anti"), F.col("doc_hash"), order)
 
 
-def vectors_by_text(pieces: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vectors of ``objects (pos, texto, vector)`` for ``pieces`` with the same trimmed text, the lowest pos first; and the pieces without."""
+def vectors_by_text(pieces: DataFrame, objects: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Vectors of ``objects (pos, texto, vector)`` for ``pieces`` with the same trimmed text, the lowest pos first; and the pieces without.
+
+    With ``whole`` a piece without a vector is an error.
+    """
     known = objects.filter("vector IS NOT NULL").groupBy(F.trim("texto").alias("__t")).agg(F.min_by("vector", "pos").alias("vector"))
     found = pieces.join(known, F.trim(pieces["texto"]) == known["__t"], "left").drop("__t")
-    return found, found.filter("vector IS NULL").drop("vector")
+    missing = found.filter("vector IS NULL").drop("vector")
+    if whole and (n := missing.count()):
+        raise ValueError(f"{n} pieces have no vector")
+    return found, missing
+
+
+def systematic_sample(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """At most ``most`` rows at equal steps of the order, from the first on; all rows if there are no more.
+
+    Rows are numbered by a range partitioning and the counts of the partitions before, not by one sort in one task.
+    """
+    step = -(-rows.count() // max(most, 1))
+    if step <= 1:
+        return rows
+    ordered = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ordered = written(ordered.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy(*order))), "ordered")
+    sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row a partition
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    numbered = ordered.join(F.broadcast(before), "__part")
+    return numbered.filter((F.col("__before") + F.col("__nth") - 1) % step == 0).drop("__part", "__nth", "__n", "__before")
 
 
 def vector_checks(objects: DataFrame, vector_col: str = "vector") -> DataFrame:
@@ -78,12 +101,14 @@ def link_closure(links: DataFrame, seeds: DataFrame) -> DataFrame:
 
     It ends when a level has no page that wasn't seen before.
     """
-    seen = written(seeds.select("url").distinct().withColumn("nivel", F.lit(0)), "seen")
-    edge = seen
+    edge = written(seeds.select("url").distinct().withColumn("nivel", F.lit(0)), "edge")
+    levels = [edge]
     for level in count(1):
+        seen = reduce(DataFrame.unionByName, levels)
         step = links.join(edge.select(F.col("url").alias("desde")), "desde").select(F.col("hasta").alias("url")).distinct()
         edge = written(step.join(seen.select("url"), "url", "left_anti").withColumn("nivel", F.lit(level)), "edge")
         if not edge.limit(1).count():
-            break
-        seen = written(seen.unionByName(edge), "seen")
-    return seen
+            return seen
+        if len(levels) == 16:  # a plan of bounded size
+            levels = [written(seen, "seen")]
+        levels.append(edge)

@@ -22,9 +22,13 @@ class Index:
 
 
 def postings(corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(pos, term, f, dl): how often each term stands in each document, and the document's length (at least 1)."""
-    base = corpus.select(F.col(id_col).alias("pos"), tokens(F.col(text_col)).alias("ts"))
-    rows = base.select("pos", F.greatest(F.size("ts"), F.lit(1)).alias("dl"), F.explode("ts").alias("term"))
+    """(pos, term, f, dl): how often each term stands in each document, and the document's length (at least 1).
+
+    A document without a term has one row with a null term and f = 1. Documents are spread by ``pos`` before they are cut up, so
+    their terms need no further shuffle, and a table of a few files uses all tasks.
+    """
+    base = corpus.select(F.col(id_col).alias("pos"), F.col(text_col).alias("text")).repartition("pos").select("pos", tokens(F.col("text")).alias("ts"))
+    rows = base.select("pos", F.greatest(F.size("ts"), F.lit(1)).alias("dl"), F.explode_outer("ts").alias("term"))
     return rows.groupBy("pos", "term", "dl").agg(F.count(F.lit(1)).alias("f")).select("pos", "term", "f", "dl")
 
 
@@ -36,10 +40,14 @@ def corpus_size(corpus: DataFrame, text_col: str) -> DataFrame:
 
 
 def build_index(corpus: DataFrame, id_col: str, text_col: str) -> Index:
-    """The index of a corpus, written to the shared folder so that many searches can use it."""
-    p = written(postings(corpus, id_col, text_col).repartition("term").sortWithinPartitions("term"), "postings")
-    size = corpus_size(corpus, text_col).first()
-    return Index(p, written(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"), size["n"], float(size["mean_length"]))
+    """The index of a corpus, written to the shared folder so that many searches can use it; texts are cut into terms once.
+
+    ``id_col`` is a key. Postings stay spread by document, so no task holds all those of a frequent term.
+    """
+    p = written(postings(corpus, id_col, text_col), "postings")
+    n, length = corpus.count(), p.agg(F.sum("f").alias("f")).first()["f"] or 0
+    found = p.filter("term IS NOT NULL")
+    return Index(found, written(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"), n, length / max(n, 1))
 
 
 def scores(index: Index, queries: DataFrame, query_id: str, query_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -37,13 +37,17 @@ def _codes(t: str) -> str:
     return f"list_reduce(list_transform(string_split({t}, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (h * 31 + c) % 4294967296)"
 
 
-def _hash_counts(key: str, x: str, source: str) -> str:
-    return f"SELECT {key}, {_codes('t')} % {DIM} AS b, count(*) AS w FROM (SELECT {key}, unnest({_toks(x, 3, False)}) AS t FROM {source}) GROUP BY ALL"
+def _hash_counts(key: str, x: str, source: str, dim: int = DIM) -> str:
+    return f"SELECT {key}, {_codes('t')} % {dim} AS b, count(*) AS w FROM (SELECT {key}, unnest({_toks(x, 3, False)}) AS t FROM {source}) GROUP BY ALL"
 
 
-_DENSE = f"""hd AS ({_hash_counts("pos", "texto", "normativa")}), hq AS ({_hash_counts("qid", "query", "asked")}),
-nd AS (SELECT pos, sqrt(sum(w * w)) AS s FROM hd GROUP BY ALL), nq AS (SELECT qid, sqrt(sum(w * w)) AS s FROM hq GROUP BY ALL),
-den AS (SELECT qid, pos, dp / (nq.s * nd.s) AS score FROM (SELECT qid, pos, sum(hd.w * hq.w) AS dp FROM hd JOIN hq USING (b) GROUP BY ALL) JOIN nd USING (pos) JOIN nq USING (qid))"""
+def _dense(dim: int, x: str = "") -> str:
+    return f"""hd{x} AS ({_hash_counts("pos", "texto", "normativa", dim)}), hq{x} AS ({_hash_counts("qid", "query", "asked", dim)}),
+nd{x} AS (SELECT pos, sqrt(sum(w * w)) AS s FROM hd{x} GROUP BY ALL), nq{x} AS (SELECT qid, sqrt(sum(w * w)) AS s FROM hq{x} GROUP BY ALL),
+den{x} AS (SELECT qid, pos, dp / (q.s * d.s) AS score FROM (SELECT qid, pos, sum(h.w * a.w) AS dp FROM hd{x} h JOIN hq{x} a USING (b) GROUP BY ALL) JOIN nd{x} d USING (pos) JOIN nq{x} q USING (qid))"""
+
+
+_DENSE = _dense(DIM)
 
 
 def _linear(alpha: float, name: str = "fus") -> str:
@@ -80,6 +84,9 @@ def _canonical(e: str) -> str:
 _CLOSED = "split_part(x, ':', 1) IN (" + ", ".join(f"'{x}'" for x in RULES_ONLY) + ")"
 
 
+_ALL = 1_000_000_000
+
+
 def _metrics(ranked: str, cut_first: bool = False, k: int = 5) -> str:
     cut = f" WHERE nth <= {k}" if cut_first else ""
     return f"""(WITH rel AS (SELECT DISTINCT md5(query) AS qid, doc_id_relevante AS doc_id FROM eval_set WHERE query IS NOT NULL),
@@ -96,12 +103,21 @@ _FOUR = 'round(recall, 4) AS recall, round("precision", 4) AS "precision", round
 
 def _strategies() -> str:
     parts = [
-        f"SELECT *, '{name}' AS estrategia FROM {_metrics(_rank(of, 50))}"
+        f"SELECT *, '{name}' AS estrategia FROM {_metrics(_rank(of, _ALL))}"
         for name, of in (("keyword", "lex"), ("semantic", "den"), ("hybrid_0.5", "h5"), ("hybrid_0.7", "h7"))
     ]
+    parts.append(f"SELECT *, 'hybrid_0.7_rerank' AS estrategia FROM {_metrics(_second('h7'))}")
     return f"WITH {_bm25()}, {_DENSE}, {_linear(0.5, 'h5')}, {_linear(0.7, 'h7')}, m AS ({' UNION ALL '.join(parts)})"
 
 
+def _second(of: str) -> str:
+    """The 30 best of a table in the order of the second stage."""
+    return f"""(SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN k > 1 THEN s END DESC NULLS LAST, nth) AS nth FROM (
+  SELECT r.qid, r.pos, nth, count(*) OVER (PARTITION BY r.qid) AS k,
+    len(list_filter(string_split_regex(lower(query), '\\s+'), lambda w: w <> '' AND contains(lower(left(texto, 2000)), w)))::DOUBLE AS s
+  FROM {_rank(of, 30)} r JOIN normativa USING (pos) JOIN asked ON asked.qid = r.qid))"""
+
+
 _SUMMARY = 'SELECT estrategia, round(avg(recall), 4) AS recall, round(avg("precision"), 4) AS "precision", round(avg(rr), 4) AS rr, round(avg(ndcg), 4) AS ndcg, count(*) AS consultas FROM m GROUP BY estrategia'
 _HITS = f"hits AS (SELECT qid, nth AS n, round(score, 4) AS score, normativa.* FROM {_rank('lex', 5)} JOIN normativa USING (pos))"
 _LABEL = "coalesce(tipo_norma, 'Norma') || CASE WHEN coalesce(seccion, '') <> '' THEN ' — ' || seccion ELSE '' END"
@@ -144,7 +160,7 @@ coalesce(fuente_url, '') AS fuente_url, trim(texto) AS texto FROM chunks_ner WHE
         "link_closure": f"""WITH RECURSIVE u AS (SELECT DISTINCT string_split(regexp_replace({_SITE} || {_PATH}, '/+$', ''), '/') AS p FROM extracted WHERE fuente_url IS NOT NULL AND {_SITE} IS NOT NULL),
 step AS (SELECT p, unnest(range(1, len(p))) AS i FROM u),
 links AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS desde, array_to_string(p[1:i + 1], '/') AS hasta FROM step),
-reach AS (SELECT DISTINCT desde AS url, 0 AS nivel FROM links WHERE NOT contains(desde, '/') UNION SELECT hasta, nivel + 1 FROM reach JOIN links ON url = desde WHERE nivel < 20)
+reach AS (SELECT DISTINCT desde AS url, 0 AS nivel FROM links WHERE NOT contains(desde, '/') UNION SELECT hasta, nivel + 1 FROM reach JOIN links ON url = desde)
 SELECT url, CAST(min(nivel) AS INTEGER) AS nivel FROM reach GROUP BY url""",
         "html_tree_text": f"SELECT DISTINCT doc_id, {_NORMAL} AS texto FROM extracted WHERE formato = 'html' AND texto IS NOT NULL",
         "link_extract": r"""WITH p AS (SELECT 'https://' || nullif(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*://|//)?(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)', 1), '') || '/' AS u, hash, id
@@ -183,10 +199,13 @@ SELECT etiqueta, valor, n FROM r WHERE nth <= 8""",
         "dedupe_hash": """WITH d AS (SELECT DISTINCT doc_id, formato, hash FROM extracted), k AS (SELECT *, CASE WHEN coalesce(formato = 'html', false) THEN NULL ELSE hash END AS h FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS n FROM k) SELECT doc_id, formato, hash FROM r WHERE h IS NULL OR n = 1""",
         "incremental_pending": """WITH p AS (SELECT DISTINCT doc_id, chunk_index, doc_hash FROM chunks_ner),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_hash ORDER BY doc_id, chunk_index) AS n FROM p WHERE doc_hash IS NULL OR doc_hash NOT IN (SELECT doc_hash FROM normativa WHERE pos % 3 = 0 AND doc_hash IS NOT NULL))
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_hash ORDER BY doc_id, chunk_index) AS n FROM p WHERE doc_hash IS NULL OR doc_hash NOT IN (SELECT doc_hash FROM normativa WHERE doc_hash IS NOT NULL))
 SELECT doc_id, chunk_index, doc_hash FROM r WHERE n = 1 OR doc_hash IS NULL""",
         "align_vectors_by_text": """WITH k AS (SELECT trim(texto) AS t, arg_min(vector, pos) AS v FROM normativa WHERE vector IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT doc_id, chunk_index, texto FROM chunks_ner)
 SELECT doc_id, chunk_index, round(v[1]::DOUBLE, 4) AS primero FROM p LEFT JOIN k ON trim(texto) = t""",
+        "systematic_sample": """WITH r AS (SELECT doc_id, chunk_index, row_number() OVER (ORDER BY doc_id NULLS FIRST, chunk_index NULLS FIRST) - 1 AS n, count(*) OVER () AS k FROM (SELECT DISTINCT doc_id, chunk_index FROM chunks_ner))
+SELECT doc_id, chunk_index FROM r WHERE n % CAST(ceil(k / 500.0) AS BIGINT) = 0""",
+        "schema_rows": "SELECT column_name AS propiedad, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'VARCHAR[]' THEN 'array<string>' WHEN 'FLOAT[]' THEN 'array<float>' END AS tipo, CAST(row_number() OVER () - 1 AS INTEGER) AS orden FROM (DESCRIBE normativa)",
         "vector_checks": "SELECT count(vector) AS vectores, CAST(min(len(vector)) AS INTEGER) AS dim_min, CAST(max(len(vector)) AS INTEGER) AS dim_max, count(*) FILTER (vector IS NULL) AS sin_vector FROM normativa",
         "alignment_guard": f"SELECT count(*) AS objetos, count(*) FILTER ({_USABLE}) AS vectores, coalesce(bool_and(coalesce({_USABLE}, false)), true) AS alineados FROM normativa",
         "facet_catalog": "SELECT faceta, valor, count(*) AS n FROM (SELECT 'materia' AS faceta, materia AS valor FROM normativa UNION ALL SELECT 'tipo_norma', tipo_norma FROM normativa) WHERE valor <> '' GROUP BY ALL",
@@ -224,9 +243,11 @@ q AS (SELECT *, trim(regexp_replace(replace(replace(coalesce(titulo, ''), '_', '
   array_to_string(list_transform(list_sort(list_transform(w, lambda x: md5(x) || x))[1:6], lambda x: x[33:]), ' ') AS m FROM d),
 z AS (SELECT CASE WHEN s <> '' AND t <> '' THEN s || ' de ' || t || ': ' || m ELSE t || ': ' || m END AS query, doc_id AS doc_id_relevante, seccion AS seccion_origen, doc_hash AS chunk_hash, k FROM q)
 SELECT query, doc_id_relevante, seccion_origen, chunk_hash FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY k) AS n FROM z) WHERE n = 1""",
-        "eval_metrics": f"WITH {_bm25()} SELECT qid, {_FOUR} FROM {_metrics(_rank('lex', 50))}",
+        "eval_metrics": f"WITH {_bm25()} SELECT qid, {_FOUR} FROM {_metrics(_rank('lex', _ALL))}",
         "eval_metrics_cut_first": f"WITH {_bm25()} SELECT qid, {_FOUR} FROM {_metrics(_rank('lex', 50), True)}",
         "eval_by_strategy": f"{_strategies()} {_SUMMARY}",
+        "eval_models": f"WITH {_ASKED}, {', '.join(_dense(d, str(d)) for d in (16, 32, 64))}, m AS ({' UNION ALL '.join(f'SELECT *, {chr(39)}hash_{d}{chr(39)} AS estrategia FROM {_metrics(_rank(f"den{d}", _ALL))}' for d in (16, 32, 64))}) {_SUMMARY}",
+        "eval_rerankers": f"WITH {_bm25()}, m AS (SELECT *, 'none' AS estrategia FROM {_metrics(_rank('lex', 30))} UNION ALL SELECT *, 'overlap' AS estrategia FROM {_metrics(_second('lex'))}) {_SUMMARY}",
         "eval_best": f"{_strategies()} SELECT estrategia, ndcg FROM ({_SUMMARY}) ORDER BY ndcg DESC, estrategia LIMIT 1",
         "citations": f"WITH {_bm25()}, {_HITS} SELECT qid, n, titulo, seccion, tipo_norma, materia, fuente_url, left(coalesce(texto, ''), 600) AS fragmento, score FROM hits",
         "context_block": f"""WITH {_bm25()}, {_HITS} SELECT qid, string_agg('[' || n || '] ' || {_LABEL} || CASE WHEN coalesce(materia, '') <> '' THEN ' (materia: ' || materia || ')' ELSE '' END || chr(10) || trim(coalesce(texto, '')),

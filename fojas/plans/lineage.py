@@ -17,10 +17,13 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is missing (tests, a single machine) a temporary folder takes its place.
+    Only where that setting is missing on a single machine (tests) a temporary folder takes its place; on a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fojas-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
