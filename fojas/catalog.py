@@ -57,7 +57,7 @@ def _hashed(s: SparkSession, sf: str, k: int | None = None) -> DataFrame:
 
 
 def _hybrid(s: SparkSession, sf: str, alpha: float) -> DataFrame:
-    found = fusion.best_linear(_lexical(s, sf), *_encoded(s, sf), alpha, 10)
+    found = fusion.best_linear(index.written(_lexical(s, sf), "lexical"), *_encoded(s, sf), alpha, 10)
     return found.select("qid", "pos", F.col("nth").cast("long").alias("nth"), F.round("score", 4).alias("score"))
 
 
