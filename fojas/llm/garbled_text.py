@@ -169,11 +169,12 @@ class _Corpus:
         self.sign = {s: math.log(n / max(signs_in_all, 1)) for s, n in signs.items()}
         self.no_sign = math.log(0.2 / max(signs_in_all, 50))
         self.lexicon = _Lexicon(self.word)
+        self.rarer: dict[str, float] = {}
 
     def with_words(self, words: dict[str, int]) -> _Corpus:
         """The same with rarer words; lost bytes are still filled from the frequent ones."""
         new = object.__new__(_Corpus)
-        new.__dict__ = self.__dict__ | {"word": self.word | {w: math.log(n / self.total) for w, n in words.items() if LOST not in w}}
+        new.__dict__ = self.__dict__ | {"rarer": {w: math.log(n / self.total) for w, n in words.items() if LOST not in w}}
         return new
 
     def known(self, bare: str) -> float | None:
@@ -181,6 +182,10 @@ class _Corpus:
         found = self.word.get(bare)
         if found is None and (low := bare.lower()) != bare and low in self.word:
             return self.word[low] - self.p.capitals
+        if found is None and self.rarer:
+            found = self.rarer.get(bare)
+            if found is None and low in self.rarer:
+                return self.rarer[low] - self.p.capitals
         return found
 
     def filled(self, edges: Edges) -> tuple[float, str] | None:
@@ -263,6 +268,18 @@ class _Tokens(dict):
         return found
 
 
+class _OwnTokens:
+    """Like :class:`_Tokens`, with the rarer words that belong to a few words of one value; all other tokens are shared."""
+
+    def __init__(self, shared: _Tokens, rare: list[dict]):
+        self.shared, self.corpus, self.ways = shared, shared.corpus, shared.ways
+        self.bare = {x["word"] for x in rare}
+        self.own = _Tokens(shared.corpus.with_words({x["other"]: x["n"] for x in rare}), shared.ways)
+
+    def __getitem__(self, t: str) -> tuple[list[tuple[float, str]], float]:
+        return (self.own if _EDGES.sub("", t) in self.bare else self.shared)[t]
+
+
 def _words(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
@@ -374,7 +391,10 @@ def _rarer(words: DataFrame, common: dict, total: int, p: Channels) -> DataFrame
             yield pa.record_batch({"word": pa.array(word, pa.string()), "other": pa.array(other, pa.string())})
 
     known = words.filter(F.col("n") >= p.least).select(F.col("word").alias("other"), "n")
-    return written(words.select("word").mapInArrow(others, "word string, other string").join(known, "other").select("word", "other", "n"), "rarer")
+    found = written(words.select("word").mapInArrow(others, "word string, other string").join(known, "other").select("word", "other", "n"), "known")
+    # a word that can only be read as itself needs nothing
+    read = found.filter("other <> word AND other <> lower(word)").select("word").distinct()
+    return written(found.join(broadcast_if_small(written(read, "read")), "word", "left_semi"), "rarer")
 
 
 def garbled_values(docs: DataFrame, id_col: str, text_cols: list[str], p: Channels = Channels()) -> DataFrame:
@@ -399,7 +419,7 @@ def garbled_values(docs: DataFrame, id_col: str, text_cols: list[str], p: Channe
     words, *statistics = _statistics(values, p)
     sent = spark.sparkContext.broadcast(statistics)
     rarer = _rarer(words, *statistics[:2], p)
-    values = values.withColumn("rare", F.lit(None).cast("array<struct<other:string,n:bigint>>")) if rarer is None else _with_rarer(values, rarer)
+    values = values.withColumn("rare", F.lit(None).cast("array<struct<word:string,other:string,n:bigint>>")) if rarer is None else _with_rarer(values, rarer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, ways = _Corpus(*sent.value, p), channels()
@@ -407,7 +427,7 @@ def garbled_values(docs: DataFrame, id_col: str, text_cols: list[str], p: Channe
         for b in batches:
             out, keep, names = [], [], []
             for i, (t, rare) in enumerate(zip(b.column("text").to_pylist(), b.column("rare").to_pylist(), strict=True)):
-                own = _Tokens(corpus.with_words({x["other"]: x["n"] for x in rare}), ways) if rare else tokens
+                own = _OwnTokens(tokens, rare) if rare else tokens
                 if _sound(t, own):
                     continue
                 new, used = _decode(t, own)
@@ -425,8 +445,8 @@ def garbled_values(docs: DataFrame, id_col: str, text_cols: list[str], p: Channe
 
 
 def _with_rarer(values: DataFrame, rarer: DataFrame) -> DataFrame:
-    """``values`` with the rarer words that their own words are or could be read as: + rare array<struct<other, n>>, null for most."""
+    """``values`` with the rarer words that their own words are or could be read as: + rare array<struct<word, other, n>>, null for most."""
     tokens = F.array_distinct(F.transform(F.split("text", "[ \t\n\r]"), lambda w: F.regexp_replace(w, _EDGE, "")))
     pairs = values.select("id", "campo", F.explode(F.filter(tokens, lambda w: w.rlike(r"[^\x00-\x7f]"))).alias("word"))
-    found = pairs.join(broadcast_if_small(rarer), "word").groupBy("id", "campo").agg(F.collect_set(F.struct("other", "n")).alias("rare"))
+    found = pairs.join(broadcast_if_small(rarer), "word").groupBy("id", "campo").agg(F.collect_set(F.struct("word", "other", "n")).alias("rare"))
     return values.join(broadcast_if_small(written(found, "needed")), ["id", "campo"], "left")
