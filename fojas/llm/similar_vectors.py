@@ -38,9 +38,9 @@ class Search:
     rows_per_list: int = 64  #: but no more than one for so many vectors
     rounds: int = 8
     sample_of_list: int = 48  #: vectors that a centroid is fitted on
-    near: float = 0.8  #: also probe lists whose squared distance exceeds the nearest one's by this share,
-    enough: int = 8  #: and further ones until the lists probed hold this many times k + 1 vectors
-    block: int = 8_192  #: most vectors of a block; most queries of a task are four times that
+    near: float = 0.5  #: also probe lists whose squared distance exceeds the nearest one's by this share,
+    enough: int = 48  #: and further ones until the lists probed hold this many times k + 1 vectors
+    block: int = 16_384  #: most vectors of a block; most queries of a task are twice that
     step: int = 32  #: columns read between two tests
     strict: float = 2.1  #: width of the hypothesis test; larger gives up fewer candidates
     seed: int = 7
@@ -166,14 +166,17 @@ def _scan(q: np.ndarray, known: np.ndarray, base: np.ndarray, q_exact: np.ndarra
     limit = np.sqrt(np.maximum(2 - 2 * known, 0))
     a, b = np.nonzero(part * (p.dim / d) <= ((1 + p.strict / math.sqrt(d)) * limit[:, None]) ** 2)
     left = part[a, b]
-    while d < p.dim and len(a):
-        end = min(d + p.step, p.dim)
-        left = left + ((q[a, d:end] - base[b, d:end]) ** 2).sum(1)
-        d = end
-        if d < p.dim:
-            stay = left * (p.dim / d) <= ((1 + p.strict / math.sqrt(d)) * limit[a]) ** 2
-            a, b, left = a[stay], b[stay], left[stay]
-    return a, b, np.einsum("ij,ij->i", q_exact[a], exact[b])
+    del part
+    out = []
+    for i in range(0, len(a), 32_768):  # bounds the memory of the pairs' columns
+        u, v, far, d = a[i : i + 32_768], b[i : i + 32_768], left[i : i + 32_768], p.step
+        while d + p.step < p.dim and len(u):
+            far = far + ((q[u, d : d + p.step] - base[v, d : d + p.step]) ** 2).sum(1)
+            d += p.step
+            stay = far * (p.dim / d) <= ((1 + p.strict / math.sqrt(d)) * limit[u]) ** 2
+            u, v, far = u[stay], v[stay], far[stay]
+        out.append((u, v, np.einsum("ij,ij->i", q_exact[u], exact[v])))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (a, b, np.zeros(0))
 
 
 def _search(base_id: np.ndarray, base_exact: np.ndarray, base_list: np.ndarray, query_id: np.ndarray, query_exact: np.ndarray, probes: list[np.ndarray], p: Search) -> pd.DataFrame:
@@ -289,7 +292,7 @@ def similar_vectors(vectors: DataFrame, id_col: str, vector_col: str, p: Search
     )
     loads = written(asked, "asked")
     per = {r["block"]: r["n"] for r in loads.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each block
-    cuts = [int(math.ceil(per.get(b, 1) / (4 * p.block))) for b in range(int(block.max()) + 1)]
+    cuts = [int(math.ceil(per.get(b, 1) / (2 * p.block))) for b in range(int(block.max()) + 1)]
     slices = broadcast_if_small(spark.createDataFrame(list(enumerate(cuts)), "block int, slices int"))
     tasks = sum(int(parts[b]) * cut for b, cut in enumerate(cuts))
     base = base.join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
