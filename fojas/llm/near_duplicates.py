@@ -5,7 +5,7 @@ are candidates. Of a candidate pair the values are compared a few at a time, and
 up when the posterior probability that its similarity reaches the threshold falls below a tolerance.
 What remains is verified on the whole shingle sets.
 
-Text that many records share, like a notice, makes bands that a great part of all classes agree in. Such a band isn't paired:
+Text that many records share, like a notice, makes bands that a great part of all classes agree in. If there are too many of them, such a band isn't paired:
 its classes are candidates where they share one of their rarest shingles, of which every pair that reaches the threshold
 has one in common, however the rest agrees.
 """
@@ -36,7 +36,8 @@ class Near:
     rows: int = 4  #: MinHash values of a band
     step: int = 16  #: values compared between two looks at the posterior
     tolerance: float = 1e-4  #: a pair is given up below this posterior probability
-    bucket: int = 256  #: the classes of larger buckets are paired by their rarest shingles instead
+    bucket: int = 256  #: larger buckets are compared in blocks of this many classes,
+    large: int = 16_384  #: and the classes of still larger ones are paired by their rarest shingles instead
     seed: int = 11
 
 
@@ -192,18 +193,46 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, p: Near =
             keep = pa.array(_pruned(_matrix(batch.column("one"), width), _matrix(batch.column("two"), width), needed))
             yield pa.record_batch({"a": batch.column("a").take(keep), "b": batch.column("b").take(keep)})
 
-    many = met.filter(F.col("rows") > p.bucket).select("id").distinct()
-    if many.limit(1).count():
-        by_shingles = _rare_pairs(written(many, "hot"), heads.select("id", "x"), base, kind, p)
+    huge = met.filter(F.col("rows") > p.large).select("id").distinct()
+    if huge.limit(1).count():
+        by_shingles = _rare_pairs(written(huge, "hot"), heads.select("id", "x"), base, kind, p)
         pairs = written(pairs.unionByName(by_shingles).distinct(), "both")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
     own = values.join(broadcast_if_small(asked), "id", "left_semi")
     pairs = pairs.join(own.select(F.col("id").alias("a"), F.col("values").alias("one")), "a").join(own.select(F.col("id").alias("b"), F.col("values").alias("two")), "b")
     alive = pairs.mapInArrow(prune, f"a {kind}, b {kind}")
+    many = met.filter((F.col("rows") > p.bucket) & (F.col("rows") <= p.large))
+    if many.limit(1).count():
+        alive = alive.unionByName(_hot_pairs(many, values, kind, width, needed, p)).distinct()
     alive = written(alive, "alive")
     return _verified(alive, heads.select("id", "x"), base, kind, p), members
 
 
+def _hot_pairs(many: DataFrame, values: DataFrame, kind: str, width: int, needed: list[tuple[int, int]], p: Near) -> DataFrame:
+    """Pairs of large buckets that are not given up: a bucket is cut into blocks, a task compares two of them."""
+    blocks = F.ceil(F.col("rows") / p.bucket).cast("int")
+    placed = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n").join(values, "id")
+
+    def compare(t: pa.Table) -> pa.Table:
+        v, n = _matrix(t.column("values"), width), t.column("n").to_numpy()
+        own, ids = t.column("own").to_numpy(), np.array(t.column("id").to_pylist())
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        a, b = [], []
+        for i in left:
+            j = right[(ids[right] > ids[i]) if lo == hi else (ids[right] != ids[i])]
+            j = j[np.minimum(n[j], n[i]) >= p.threshold * np.maximum(n[j], n[i])]
+            j = j[_pruned(np.broadcast_to(v[i], (len(j), width)), v[j], needed)]
+            a += [min(ids[i], x) for x in ids[j]]
+            b += [max(ids[i], x) for x in ids[j]]
+        value_type = t.schema.field("id").type
+        return pa.table({"a": pa.array(a, value_type), "b": pa.array(b, value_type)})
+
+    return placed.groupBy("band", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
 def _shingle_sets(wanted: DataFrame, base: DataFrame, kind: str, p: Near) -> DataFrame:
     """(id, shingles binary) of the classes in ``wanted (id, x)``: of an id with several texts, the one whose shingles hash to x."""
 

@@ -31,7 +31,7 @@ def test_against_brute_force(spark):
     s = {i: shingles(t, 3) for i, t in rows}
     ids = sorted(s)
     want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if s[a] and s[b] and len(s[a] & s[b]) / len(s[a] | s[b]) >= 0.6}
-    for p in (Near(words=3, threshold=0.6), Near(words=3, threshold=0.6, bucket=1)):
+    for p in (Near(words=3, threshold=0.6), Near(words=3, threshold=0.6, bucket=1), Near(words=3, threshold=0.6, bucket=1, large=1)):
         got = [tuple(x) for x in all_pairs(df, "id", "t", p).collect()]
         assert len(got) == len(set(got)) and set(got) <= want and len(set(got)) >= 0.98 * len(want)
 
@@ -76,5 +76,5 @@ def test_a_notice_in_every_text(spark):
     s = {i: shingles(t, 3) for i, t in rows}
     ids = sorted(s)
     want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(s[a] & s[b]) / len(s[a] | s[b]) >= 0.6}
-    got = {tuple(x) for x in all_pairs(df, "id", "t", Near(words=3, threshold=0.6, bucket=16)).collect()}
+    got = {tuple(x) for x in all_pairs(df, "id", "t", Near(words=3, threshold=0.6, bucket=16, large=32)).collect()}
     assert got == want and len(want) == 120
