@@ -86,32 +86,45 @@ def reading(edges: Edges) -> str:
 
 
 def _reader(read_as: str, written_in: str, times: int = 1):
+    """Two functions of a garbled word: its reading, and the lattice that this is read from; None where the channel can't have made it."""
     table = _bytes_of(read_as)
     if written_in == "utf-8":
         edge = {c: bytes([b]) for c, b in table.items()}
     else:
         edge = {c: None if (x := bytes([b]).decode(written_in, "replace")) == LOST else x.encode() for c, b in table.items()}
 
-    def run(word: str) -> Edges | None:
+    quick = {ord(c): (LOST if e is None else e.decode("latin-1" if written_in == "utf-8" else "utf-8")) for c, e in edge.items()}
+
+    def once(word: str) -> str | None:
+        if any(ord(c) not in quick and c != LOST for c in word):
+            return None
+        new = word.translate(quick)  # bytes as characters for UTF-8, else the characters themselves
+        return new if written_in != "utf-8" else new.encode("latin-1").decode("utf-8", "replace") if LOST not in new else reading(lattice(word))
+
+    def lattice(word: str) -> Edges:
+        return [None if c == LOST else edge[c] for c in word]
+
+    def read(word: str) -> str | None:
         for i in range(times):
-            try:
-                edges = [None if c == LOST else edge[c] for c in word]
-            except KeyError:
-                return None
-            new = reading(edges)
-            if new == word or (i + 1 < times and LOST in new):
+            new = once(word)
+            if new is None or new == word or (i + 1 < times and LOST in new):
                 return None
             word = new
-        return edges
+        return word
+
+    def edges(word: str) -> Edges:
+        for _ in range(times - 1):
+            word = once(word)
+        return lattice(word)
 
-    return run
+    return read, edges
 
 
-def channels() -> list[tuple[str, bool, object]]:
-    """(name, whether one byte a character, function from a garbled word to its lattice or None)."""
-    out = [(f"utf-8 as {e}", False, _reader(e, "utf-8")) for e in _READ_AS]
-    out += [(f"utf-8 as {e}, twice", False, _reader(e, "utf-8", 2)) for e in ("cp1252", "cp1251", "mac_roman")]
-    return out + [(f"{w} as {r}", True, _reader(r, w)) for r, w in _ONE_BYTE]
+def channels() -> list[tuple]:
+    """(name, whether one byte a character, the functions of :func:`_reader`)."""
+    out = [(f"utf-8 as {e}", False, *_reader(e, "utf-8")) for e in _READ_AS]
+    out += [(f"utf-8 as {e}, twice", False, *_reader(e, "utf-8", 2)) for e in ("cp1252", "cp1251", "mac_roman")]
+    return out + [(f"{w} as {r}", True, *_reader(r, w)) for r, w in _ONE_BYTE]
 
 
 def _kind(c: str) -> str:
@@ -190,6 +203,8 @@ class _Corpus:
 
     def filled(self, edges: Edges) -> tuple[float, str] | None:
         """The likeliest word on the lattice and its log probability, in the case of the letters left; None if none or none surely fits."""
+        if None not in edges:
+            return None
         letters = b"".join(e for e in edges if e and e.isascii()).decode()
         if not any(c.isalpha() for c in letters):
             return None
@@ -247,9 +262,8 @@ class _Tokens(dict):
         plain, _ = corpus.score(t)
         options = [(max(s, plain), filled if s > plain or LOST in t else t)]
         edges = _edge_marks_alone(t)
-        for _, one_byte, read in self.ways:
-            path = read(t)
-            d = None if path is None else reading(path)
+        for _, one_byte, read, edges_of in self.ways:
+            d = read(t)
             if d is None or any(c.isspace() or not (c.isprintable() or c == "\u00ad") for c in d if c != "\u00a0"):
                 options.append((options[0][0] - 12.0, options[0][1]) if d is not None or not t.isascii() else options[0])
                 continue
@@ -258,7 +272,7 @@ class _Tokens(dict):
                 # a sign alone, a no-break space or a mark beside an unknown word tells nothing, but shares its stretch's channel
                 options.append((options[0][0], d))
             else:
-                s, filled = corpus.score(d, path)
+                s, filled = corpus.score(d, edges_of(t) if LOST in d else None)
                 # bytes that are no text in the other encoding, and no known word fits them
                 options.append((options[0][0] - 12.0, options[0][1]) if LOST in filled else (s, filled))
         gain = math.inf if options[0][1] != t or LOST in t else max(o[0] for o in options) - options[0][0]
@@ -299,7 +313,7 @@ def _decode(text: str, tokens: _Tokens) -> tuple[str, list[str]]:
     if not matches:
         return text, []
     n = len(ways) + 1
-    enter = [0.0] + [p.enter_one_byte if one else p.enter for _, one, _ in ways]
+    enter = [0.0] + [p.enter_one_byte if one else p.enter for _, one, *_ in ways]
     best, back, seen = [0.0] + [-math.inf] * (n - 1), [], []
     for m in matches:
         options, _ = tokens[m.group()]
@@ -383,7 +397,7 @@ def _rarer(words: DataFrame, common: dict, total: int, p: Channels) -> DataFrame
         for b in batches:
             word, other = [], []
             for w in b.column("word").to_pylist():
-                read = {w} | {_EDGES.sub("", reading(x)) for _, _, way in ways if (x := way(w)) is not None}
+                read = {w} | {_EDGES.sub("", x) for _, _, way, _ in ways if (x := way(w)) is not None}
                 for r in read | {r.lower() for r in read}:
                     if r and r not in have and LOST not in r:
                         word.append(w)
