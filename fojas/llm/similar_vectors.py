@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -293,29 +294,33 @@ def similar_vectors(vectors: DataFrame, id_col: str, vector_col: str, p: Search
     loads = written(asked, "asked")
     per = {r["block"]: r["n"] for r in loads.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each block
     cuts = [int(math.ceil(per.get(b, 1) / (2 * p.block))) for b in range(int(block.max()) + 1)]
-    slices = broadcast_if_small(spark.createDataFrame(list(enumerate(cuts)), "block int, slices int"))
     tasks = sum(int(parts[b]) * cut for b, cut in enumerate(cuts))
-    base = base.join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    before = np.cumsum([0] + [int(parts[b]) * cut for b, cut in enumerate(cuts)])[:-1].tolist()
+    slices = broadcast_if_small(spark.createDataFrame([(b, cut, before[b]) for b, cut in enumerate(cuts)], "block int, slices int, before int"))
+    group = (F.col("before") + F.col("part") * F.col("slices") + F.col("slice")).alias("group")
+    base = base.join(slices, "block").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(group, "id", "raw", "home", "probes")
     query = (
         loads.join(placed.select("id", "raw"), "id")
         .join(slices, "block")
-        .select(
-            "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "raw", F.lit(None).cast("int").alias("home"), "probes",
-            F.pmod(F.xxhash64(F.lit(3), "id"), "slices").cast("int").alias("slice"),
-        )
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("slice", F.pmod(F.xxhash64(F.lit(3), "id"), "slices").cast("int"))
+        .select(group, "id", "raw", F.lit(None).cast("int").alias("home"), "probes")
     )
 
-    def search(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        units = _exact(table.column("raw"), p.dim)
-        home = table.column("home").to_pandas()
-        is_base = home.notna().to_numpy()
-        probes = [np.asarray(x) for x in table.column("probes").filter(pa.array(~is_base)).to_pylist()]
-        out = _search(ids[is_base], units[is_base], home[is_base].to_numpy().astype(int), ids[~is_base], units[~is_base], probes, p)
-        return pa.Table.from_pandas(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())]), preserve_index=False)
-
-    # as many partitions as groups: a task's input stays bounded however many vectors there are
-    found = base.unionByName(query).repartition(tasks, "block", "part", "slice").groupBy("block", "part", "slice").applyInArrow(search, "a long, b long, cosine double")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # one group: a partition has no other rows
+        table = pa.Table.from_batches(held) if held else None
+        for own in table.column("group").unique().to_pylist() if held else []:
+            rows = table.filter(pc.equal(table.column("group"), own))
+            ids, home = rows.column("id").to_numpy(), rows.column("home").to_pandas()
+            units = _exact(rows.column("raw"), p.dim)
+            is_base = home.notna().to_numpy()
+            probes = [np.asarray(x) for x in rows.column("probes").filter(pa.array(~is_base)).to_pylist()]
+            out = _search(ids[is_base], units[is_base], home[is_base].to_numpy().astype(int), ids[~is_base], units[~is_base], probes, p)
+            yield pa.RecordBatch.from_pandas(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())]), preserve_index=False)
+
+    # a partition for each group, by its number: a task's input stays bounded however many vectors there are
+    found = base.unionByName(query).repartitionById(max(tasks, 1), "group").mapInArrow(search, "a long, b long, cosine double")
     if members is not None:
         found = _with_equals(found, members, p.k)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
