@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fojas.functions import entities, text, urls, vectors
-from fojas.operators import answer, chunking, dense, evaluate, filters, fusion, index, lexical, rerank, search
-from fojas.oracles import oracle_sql
+from fojas.operators import answer, approximate, chunking, dense, evaluate, filters, fusion, index, lexical, rerank, search
+from fojas.oracles import FORMS, oracle_sql
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -226,9 +226,8 @@ def entities_canonical(s, sf):
 
 @_query
 def entities_ensemble(s, sf):
-    one = _t(s, sf, "chunks_ner").select("doc_id", "chunk_index", F.col("entidades").alias("e"))
-    half = F.filter("e", lambda x: F.length(x) % 2 == 0)
-    return one.select("doc_id", "chunk_index", F.array_join(entities.ensemble(half, F.col("e")), "|").alias("entidades")).distinct()
+    both = entities.ensemble(entities.rule_entities(F.col("texto")), F.col("entidades"))
+    return _t(s, sf, "chunks_ner").select("doc_id", "chunk_index", F.array_join(both, "|").alias("entidades")).distinct()
 
 
 @_query
@@ -260,10 +259,18 @@ def tagger_recall(s, sf):
 
 @_query
 def tagger_oov_top(s, sf):
-    e = _tagged(s, sf).select(F.explode(entities.canonical(F.col("entidades"))).alias("e"))
-    values = e.select(F.substring_index("e", ":", 1).alias("etiqueta"), F.lower(F.expr("substring(e, instr(e, ':') + 1)")).alias("valor"))
-    known = values.filter(F.length("valor") % 3 == 0).groupBy("etiqueta", "valor").agg(F.count(F.lit(1)).alias("n")).filter("n > 20")
-    return evaluate.unknown_values(values, known)
+    """The given entities that nothing the rules find in the texts explains."""
+    def values(e):
+        split = (F.substring_index("e", ":", 1).alias("etiqueta"), F.lower(F.expr("substring(e, instr(e, ':') + 1)")).alias("valor"))
+        return _tagged(s, sf).select(F.explode(e).alias("e")).select(*split)
+
+    return evaluate.unknown_values(values(entities.canonical(F.col("entidades"))), values(entities.rule_entities(F.col("texto"))))
+
+
+@_query
+def tagger_forms(s, sf):
+    """How many texts with a written form are tagged with it, by the rules and by the given entities."""
+    return evaluate.form_coverage(_tagged(s, sf), FORMS, {"reglas": entities.rule_entities(F.col("texto")), "dadas": F.col("entidades")})
 
 
 @_query
@@ -405,6 +412,14 @@ def embeddings_topk(s, sf):
     return _top(dense.cosine_scores(base, asked, 6).filter("qid <> pos"), 5)
 
 
+@_query
+def ann_topk(s, sf):
+    """As dense_topk, from the inverted lists nearest to each query; recall is measured in the tests."""
+    usable = _t(s, sf, "normativa").filter(vectors.usable(F.col("vector"), 128)).select("pos", "vector")
+    asked = usable.filter("pos % 20 = 0").withColumnRenamed("pos", "qid")
+    return _top(approximate.nearest(approximate.build_lists(usable), asked, 6).filter("qid <> pos"), 5)
+
+
 @_query
 def hash_encode(s, sf):
     e = _t(s, sf, "normativa").select("pos", F.posexplode(vectors.hash_encode(F.col("texto"), DIM)).alias("cubo", "n"))

@@ -108,6 +108,26 @@ def tagger_recall(tagged: DataFrame, stems: list[tuple[str, str]], label: str) -
     )
 
 
+def form_coverage(tagged: DataFrame, forms: list[tuple[str, str]], taggers: dict[str, Column], stem: int = 7) -> DataFrame:
+    """(tagger, etiqueta, forma, n, por_raiz, literal): rows whose ``texto`` has a written form, and those of them tagged with it.
+
+    ``por_raiz`` counts rows with an entity of the form's label that has the first ``stem`` letters of the form's last word, ``literal`` those
+    with one that has the whole form. A row with null label and form holds each tagger's totals. Null texts and entities count as empty.
+    """
+    text, none = F.lower(F.coalesce("texto", F.lit(""))), F.array().cast("array<string>")
+    table = F.array(*[F.struct(F.lit(e).alias("etiqueta"), F.lit(f).alias("forma"), F.lit(f.split()[-1][:stem]).alias("raiz")) for e, f in forms])
+    tags = F.array(*[F.struct(F.lit(name), F.transform(F.coalesce(c, none), F.lower)).cast("struct<tagger:string,e:array<string>>") for name, c in taggers.items()])
+    seen = tagged.select(tags.alias("tags"), F.explode(F.filter(table, lambda f: F.contains(text, f["forma"]))).alias("f")).select("f.*", F.inline("tags"))
+
+    def tagged_with(part: str) -> Column:
+        return F.count_if(F.exists("e", lambda x: x.startswith(F.concat("etiqueta", F.lit(":"))) & F.contains(x, F.col(part))))
+
+    found = seen.groupBy("tagger", "etiqueta", "forma").agg(F.count(F.lit(1)).alias("n"), tagged_with("raiz").alias("por_raiz"), tagged_with("forma").alias("literal"))
+    empty = F.lit(None).cast("string")
+    total = found.groupBy("tagger").agg(*[F.sum(c).alias(c) for c in ("n", "por_raiz", "literal")])
+    return found.unionByName(total.withColumn("etiqueta", empty).withColumn("forma", empty))
+
+
 def unknown_values(values: DataFrame, known: DataFrame, k: int = 8) -> DataFrame:
     """(etiqueta, valor, n): the k most frequent values of each label that neither contain nor are contained in a known one.
 

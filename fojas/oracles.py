@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fojas.functions.entities import RULES_ONLY, WRONG
+from fojas.functions.entities import RULES, RULES_ONLY, WRONG
 from fojas.functions.text import ACCENTED, KINDS, NO_KIND, NO_SUBJECT, PLAIN, STOP_WORDS, SUBJECTS
 
 DIM = 32
@@ -81,6 +81,27 @@ def _canonical(e: str) -> str:
     return f"list_filter({kept}, lambda x, i: list_position({kept}, x) = i)"
 
 
+def _found_by_rules(text: str) -> str:
+    """The rules' entities. Words are marked at both ends, since RE2 can't look around; a period that a word follows is marked as well."""
+    marked = rf"regexp_replace(regexp_replace(coalesce({text}, ''), '([0-9A-Za-z_áéíóúüñÁÉÍÓÚÜÑ]+)', chr(1) || '\1' || chr(2), 'g'), '\.\x01', chr(3) || '.' || chr(1), 'g')"
+    lists = []
+    for label, pattern in RULES:
+        ends = [p + r"\x02" if p != r"Bs\.?" else r"Bs\x02\.?" for p in pattern.replace(" ", r"\x02 \x01").split("|")]
+        found = f"regexp_extract_all({marked}, '(?i)\\x01({'|'.join(ends)})', 1)"
+        lists.append(f"list_transform({found}, lambda x: '{label}:' || lower(trim(replace(replace(x, chr(1), ''), chr(2), ''))))")
+    return f"list_concat({', '.join(lists)})"
+
+
+def _once(e: str) -> str:
+    return f"list_filter({e}, lambda x, i: list_position({e}, x) = i)"
+
+
+#: Written forms whose tagging is measured: (label, form).
+FORMS = [
+    ("tipo_de_norma", "ley"), ("tipo_de_norma", "leyes"), ("tipo_de_norma", "resolución"), ("tipo_de_norma", "resoluciones"), ("tipo_de_norma", "circular"),
+    ("tipo_de_norma", "circulares"), ("institucion", "ministerio"), ("institucion", "banco central"), ("moneda", "dólares"), ("instrumento_financiero", "bonos"),
+    ("sistema_de_pago", "cheque"), ("sistema_de_pago", "transferencias"), ("indicador_economico", "encaje legal"), ("periodo", "enero"),
+]
 _CLOSED = "split_part(x, ':', 1) IN (" + ", ".join(f"'{x}'" for x in RULES_ONLY) + ")"
 
 
@@ -181,7 +202,13 @@ w AS (SELECT doc_id, l, i, last_value(t IGNORE NULLS) OVER v AS titulo, last_val
   WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT doc_id, CAST(i AS INTEGER) AS linea_no, titulo, capitulo, seccion FROM w WHERE regexp_matches(l, '^[ \t]*(?i:art[íi]culo|art\.)[ \t]*[0-9]+')""",
         "entities_canonical": f"SELECT DISTINCT doc_id, chunk_index, array_to_string({_canonical('entidades')}, '|') AS entidades FROM chunks_ner",
-        "entities_ensemble": f"""WITH e AS (SELECT doc_id, chunk_index, coalesce(entidades, []::VARCHAR[]) AS m, list_filter(coalesce(entidades, []::VARCHAR[]), lambda x: length(x) % 2 = 0) AS r FROM chunks_ner),
+        "entities_rules": f"WITH r AS (SELECT pos, {_found_by_rules('texto')} AS e FROM normativa) SELECT pos, array_to_string({_once('e')}, '|') AS entidades FROM r",
+        "tagger_forms": f"""WITH {_PIECES}, r AS (SELECT lower(coalesce(texto, '')) AS t, coalesce(entidades, []::VARCHAR[]) AS d, {_found_by_rules('texto')} AS r FROM pieces),
+f(etiqueta, forma) AS (VALUES {", ".join(map(str, FORMS))}), x AS (SELECT 'dadas' AS tagger, t, d AS e FROM r UNION ALL SELECT 'reglas', t, r FROM r),
+y AS (SELECT tagger, etiqueta, forma, len(list_filter(e, lambda v: starts_with(lower(v), etiqueta || ':') AND contains(lower(v), left(split_part(forma, ' ', -1), 7)))) > 0 AS a,
+  len(list_filter(e, lambda v: starts_with(lower(v), etiqueta || ':') AND contains(lower(v), forma))) > 0 AS b FROM x JOIN f ON contains(t, forma))
+SELECT tagger, etiqueta, forma, count(*) AS n, count(*) FILTER (a) AS por_raiz, count(*) FILTER (b) AS literal FROM y GROUP BY GROUPING SETS ((tagger, etiqueta, forma), (tagger))""",
+        "entities_ensemble": f"""WITH e AS (SELECT doc_id, chunk_index, coalesce(entidades, []::VARCHAR[]) AS m, {_found_by_rules('texto')} AS r FROM chunks_ner),
 c AS (SELECT doc_id, chunk_index, list_concat(list_filter(r, lambda x: {_CLOSED}), list_filter(r, lambda x: NOT {_CLOSED}), list_filter(m, lambda x: NOT {_CLOSED})) AS a FROM e)
 SELECT DISTINCT doc_id, chunk_index, array_to_string({_canonical('a')}, '|') AS entidades FROM c""",
         "entity_filter_any": "SELECT pos, doc_id FROM normativa WHERE tipo_norma = 'Ley' AND list_has_any(entidades, ['institucion:ministerio', 'periodo:enero'])",
@@ -192,7 +219,7 @@ x AS (SELECT tipo_norma, contains(lower(texto), raiz) AS a, len([e for e in coal
 SELECT tipo_norma, count(*) FILTER (a) AS techo, count(*) FILTER (a AND b) AS detectadas, round(count(*) FILTER (a AND b) / nullif(count(*) FILTER (a), 0), 4) AS recall FROM x GROUP BY tipo_norma""",
         "tagger_oov_top": f"""WITH {_PIECES}, e AS (SELECT unnest({_canonical('entidades')}) AS e FROM pieces),
 v AS (SELECT split_part(e, ':', 1) AS etiqueta, lower(substring(e, instr(e, ':') + 1)) AS valor, count(*) AS n FROM e GROUP BY ALL),
-k AS (SELECT etiqueta, valor FROM v WHERE length(valor) % 3 = 0 AND n > 20),
+u AS (SELECT DISTINCT unnest({_found_by_rules('texto')}) AS e FROM pieces), k AS (SELECT split_part(e, ':', 1) AS etiqueta, lower(substring(e, instr(e, ':') + 1)) AS valor FROM u),
 r AS (SELECT *, row_number() OVER (PARTITION BY etiqueta ORDER BY n DESC, valor) AS nth FROM v WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.etiqueta = v.etiqueta AND (contains(v.valor, k.valor) OR contains(k.valor, v.valor))))
 SELECT etiqueta, valor, n FROM r WHERE nth <= 8""",
         "stratified_sample": f"WITH {_PIECES}, r AS (SELECT coalesce(tipo_norma, '') AS estrato, doc_id, chunk_index, row_number() OVER (PARTITION BY coalesce(tipo_norma, '') ORDER BY md5(concat_ws('|', doc_id, chunk_index))) AS n FROM pieces) SELECT estrato, doc_id, chunk_index FROM r WHERE n <= 15",
@@ -236,6 +263,11 @@ p AS (SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN k
 y AS (SELECT *, count(s) OVER (PARTITION BY qid) AS k FROM x)
 SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(CASE WHEN k > 0 THEN coalesce(s, '-inf'::DOUBLE) END, 0), 9) DESC, nth) AS place FROM y""",
         "target_rank": f"WITH {_bm25()}, r AS (SELECT * FROM {_rank('lex', 1000000000)}) SELECT qid, min(nth) AS rank FROM r WHERE pos IN (SELECT pos FROM normativa WHERE contains(lower(texto), 'encaje legal')) GROUP BY qid",
+        "hybrid_search": f"""WITH {_bm25()}, {_DENSE}, {_linear(0.7)}, c AS (SELECT r.*, query, normativa.doc_id, count(*) OVER (PARTITION BY r.qid) AS k,
+len(list_filter(string_split_regex(lower(query), '\\s+'), lambda w: w <> '' AND contains(lower(left(texto, 2000)), w)))::DOUBLE AS s
+FROM {_rank('fus', 30, " AND pos IN (SELECT pos FROM normativa WHERE tipo_norma = 'Ley')")} r JOIN normativa USING (pos) JOIN asked ON asked.qid = r.qid),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN k > 1 THEN s END DESC NULLS LAST, nth) AS INTEGER) AS place FROM c)
+SELECT qid, place, pos, round(score, 4) AS score, CASE WHEN k > 1 THEN s END AS rerank_score, 'hybrid' AS modo, 0.7::DOUBLE AS alpha, k > 1 AS rerank, doc_id FROM p WHERE place <= 5""",
         "eval_silver_set": f"""WITH p AS (SELECT *, md5(concat_ws('|', doc_id, chunk_index)) AS k, list_distinct(list_filter(regexp_extract_all(texto, '[A-Za-zÁÉÍÓÚáéíóúÑñ]{{4,}}'), lambda w: lower(w) NOT IN ({", ".join(repr(w) for w in STOP_WORDS)}))) AS w
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY 1) AS r FROM chunks_ner) WHERE r = 1) WHERE length(texto) > 200),
 d AS (SELECT * FROM p WHERE len(w) > 0 ORDER BY k LIMIT 200),
