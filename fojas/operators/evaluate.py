@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fojas.functions.text import content_words, title_for_query
+from fojas.operators import scan
 from fojas.plans.lineage import broadcast_if_small, written
 
 
@@ -46,6 +47,19 @@ def relevant_places(scored: DataFrame, documents: DataFrame, relevant: DataFrame
     return ahead.withColumnRenamed("wanted", "doc_id")
 
 
+def counted_places(rows: DataFrame, asked: DataFrame, kinds: list[scan.Kind], relevant: DataFrame, mean: float = 1.0) -> DataFrame:
+    """(kind, qid, doc_id, rank) as :func:`relevant_places` gives them for each of ``kinds``, without a row for every pair.
+
+    ``rows`` and ``asked`` are those of :mod:`scan`, ``doc`` being the document of a row.
+    """
+    wanted = relevant.select("qid", "doc_id").distinct()
+    lists = wanted.groupBy("qid").agg(F.collect_list("doc_id").alias("wanted"))  # what is relevant for a query
+    own = rows.join(wanted.select(F.col("doc_id").alias("doc")).distinct(), "doc", "left_semi")
+    best = written(scan.best_places(own, asked.join(lists, "qid"), kinds, mean), "places")
+    found = scan.placed(rows, asked, best, kinds, mean)
+    return best.join(found, ["kind", "qid", "pos"]).select("kind", "qid", F.col("doc").alias("doc_id"), "rank")
+
+
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int, cut_first: bool = False) -> DataFrame:
     """Recall, precision, reciprocal rank and nDCG of every query in ``relevant (qid, doc_id)``: (qid, recall, precision, rr, ndcg).
 

@@ -16,6 +16,7 @@ NO_PAIRS = (
     "bm25_log",
     "rerank_align_missing",
     "eval_metrics_cut_first",
+    "eval_metrics",
 )
 
 
@@ -78,3 +79,13 @@ def test_documents_hold_the_postings(drawn):
     rows = drawn[0]
     found = _plain(lexical.build_index(rows, "pos", "texto").postings, "pos", "term", "f", "dl")
     assert found == _plain(lexical.postings(rows, "pos", "texto").filter("term IS NOT NULL"), "pos", "term", "f", "dl")
+
+
+def test_places_by_words(drawn, small_blocks):
+    rows, asked = drawn
+    ix = lexical.build_index(rows, "pos", "texto")
+    relevant = rows.crossJoin(asked.select("qid")).filter("pos % 5 = 0").select("qid", "doc_id")
+    want = evaluate.relevant_places(lexical.scores(ix, asked, "qid", "query"), rows, relevant)
+    docs = ix.documents.join(rows.select("pos", F.col("doc_id").alias("doc")), "pos")
+    got = evaluate.counted_places(docs, lexical.asked_words(ix, asked, "qid", "query"), ["word"], relevant, ix.mean_length)
+    assert _plain(got, "qid", "doc_id", "rank") == _plain(want, "qid", "doc_id", "rank") and want.count() > 50
