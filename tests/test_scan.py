@@ -19,6 +19,7 @@ NO_PAIRS = (
     "eval_metrics",
     "candidate_union",
     "hybrid_alpha0",
+    "hybrid_alpha1",
 )
 
 
