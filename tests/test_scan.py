@@ -20,6 +20,7 @@ NO_PAIRS = (
     "candidate_union",
     "hybrid_alpha0",
     "hybrid_alpha1",
+    "hybrid_linear",
 )
 
 
