@@ -24,6 +24,7 @@ NO_PAIRS = (
     "hybrid_rrf",
     "eval_models",
     "eval_best",
+    "eval_by_strategy",
 )
 
 
