@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fojas.plans.lineage import written
@@ -128,8 +128,8 @@ def _sizes(v: np.ndarray) -> np.ndarray:
     return np.where(size > 0, size, 1.0)
 
 
-def _first(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the k best positive scores of each query.
+def _first(s: np.ndarray, k: int, floor: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the k best positive scores of each query, without those below its ``floor``.
 
     The k-th largest of the maxima of stretches of a query's scores bounds its k-th score from below.
     """
@@ -137,7 +137,7 @@ def _first(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     whole = s.shape[1] // width * width
     most = s[:, :whole].reshape(len(s), -1, width).max(axis=2)
     least = np.partition(most, most.shape[1] - k, axis=1)[:, [most.shape[1] - k]] if most.shape[1] >= k else np.zeros((len(s), 1))
-    q, r = np.nonzero((s > 0) & (s >= least - 2e-9))
+    q, r = np.nonzero((s > 0) & (s >= np.maximum(least, floor) - 2e-9))
     order = np.lexsort((r, -np.round(s[q, r], 9), q))
     q, r = q[order], r[order]
     few = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -161,13 +161,15 @@ def _ahead(s: np.ndarray, own: np.ndarray, before: np.ndarray, doc: np.ndarray,
     more = np.cumsum(np.bincount(above, minlength=len(steps) + 1)[::-1])[::-1]
     out = more[np.searchsorted(steps, own) + 1]
     tie = np.flatnonzero((above < len(steps)) & (steps[np.minimum(above, len(steps) - 1)] == r))
-    return out + np.array([np.count_nonzero((r[tie] == x) & (near[tie] < y)) for x, y in zip(own, before, strict=True)], np.int64)
+    for i in range(0, len(tie), 1024):  # bounds the memory of places times ties
+        some = tie[i : i + 1024]
+        out = out + ((r[some] == own[:, None]) & (near[some] < before[:, None])).sum(axis=1)
+    return out
 
 
 def _run(rows: DataFrame, asked: DataFrame, mean: float, by: str, work: Callable[[_Block], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``work`` over every block of rows with every block of queries, each a partition of its own; rows with equal ``by`` share a block."""
-    n, m = rows.count(), asked.count()
-    nb, nq = max(math.ceil(n / ROWS), min(TASKS, math.ceil(n / LEAST)), 1), max(1, math.ceil(m / QUERIES))
+    nb, nq = _blocks(rows), max(1, math.ceil(asked.count() / QUERIES))
 
     def part(c: str, k: int) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
@@ -189,20 +191,41 @@ def _run(rows: DataFrame, asked: DataFrame, mean: float, by: str, work: Callable
     return both.repartitionById(nb * nq, "__group").mapInArrow(run, schema)
 
 
+def _blocks(rows: DataFrame) -> int:
+    n = rows.count()
+    return max(math.ceil(n / ROWS), min(TASKS, math.ceil(n / LEAST)), 1)
+
+
 def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
 def best(rows: DataFrame, asked: DataFrame, kinds: list[Kind], k: int, mean: float = 1.0) -> DataFrame:
-    """(kind int, qid, pos, score): each block's k best positive scores of every query, so that the k best of all are among them."""
+    """(kind int, qid, pos, score): each block's k best positive scores of every query, so that the k best of all are among them.
+
+    Scores below the query's number in the array ``floor`` of ``asked``, by kind, are left out if that column is there.
+    """
     def work(b: _Block) -> Iterator[pa.RecordBatch]:
+        floor = _matrix(_one(b.asked.column("floor"))) if "floor" in b.asked.column_names else np.zeros((len(b.asked), len(kinds)))
         for kind, lo, s in b.scores(kinds):
-            q, r = _first(s, k)
+            q, r = _first(s, k, floor[lo : lo + len(s), [kind]])
             yield _batch({"kind": pa.array(np.full(len(q), kind, np.int32)), "qid": b.qid.take(pa.array(q + lo)), "pos": b.pos.take(pa.array(r)), "score": pa.array(s[q, r])})
 
     return _run(rows, asked, mean, "pos", work, f"kind int, qid {_type(asked, 'qid')}, pos {_type(rows, 'pos')}, score double")
 
 
+def best_deep(rows: DataFrame, asked: DataFrame, kinds: list[Kind], k: int, mean: float = 1.0) -> DataFrame:
+    """:func:`best` for a large k: a first pass with few rows of each block gives a k-th score, below which the second leaves everything out."""
+    few = math.ceil(2 * k / _blocks(rows))
+    if few > k / 4:
+        return best(rows, asked, kinds, k, mean)
+    nth = F.row_number().over(Window.partitionBy("qid", "kind").orderBy(F.desc("score")))  # 2 k rows of a query
+    limits = best(rows, asked, kinds, few, mean).withColumn("nth", nth).filter(F.col("nth") == k)
+    floor = F.array(*[F.coalesce(F.max(F.when(F.col("kind") == i, F.col("score"))), F.lit(0.0)) for i in range(len(kinds))])
+    floors = limits.groupBy("qid").agg(floor.alias("floor"))
+    return best(rows, written(asked.join(floors, "qid", "left"), "floors"), kinds, k, mean)
+
+
 def best_places(rows: DataFrame, asked: DataFrame, kinds: list[Kind], mean: float = 1.0) -> DataFrame:
     """(kind int, qid, doc, s, pos): the best row of every document of the array ``wanted`` of a query, its score to nine digits; only positive ones."""
     def work(b: _Block) -> Iterator[pa.RecordBatch]:
@@ -214,13 +237,13 @@ def best_places(rows: DataFrame, asked: DataFrame, kinds: list[Kind], mean: floa
         for kind, lo, s in b.scores(kinds):
             out = []
             for i in range(len(s)):
-                for c in code[begins[lo + i] : begins[lo + i + 1]]:
-                    if c >= 0:
-                        own = order[starts[c] : starts[c + 1]]
-                        r = np.where(s[i, own] > 0, np.round(s[i, own], 9), -1.0)
-                        at = int(np.argmax(r))  # the first of equal ones: rows are in the order of pos
-                        if r[at] >= 0:
-                            out.append((lo + i, c, r[at], own[at]))
+                known = code[begins[lo + i] : begins[lo + i + 1]]
+                for c in known[known >= 0].tolist():
+                    own = order[starts[c] : starts[c + 1]]
+                    r = np.where(s[i, own] > 0, np.round(s[i, own], 9), -1.0)
+                    at = int(np.argmax(r))  # the first of equal ones: rows are in the order of pos
+                    if r[at] >= 0:
+                        out.append((lo + i, c, r[at], own[at]))
             q, c, r, at = (np.array(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
             yield _batch({"kind": pa.array(np.full(len(q), kind, np.int32)), "qid": b.qid.take(pa.array(q)), "doc": b.docs.take(pa.array(c)), "s": pa.array(r.astype(float)), "pos": b.pos.take(pa.array(at))})
 

@@ -116,3 +116,17 @@ def test_best_reciprocal(drawn, hashed, small_blocks, alpha, k):
     want = lexical.best(fusion.reciprocal_rank(lexical.scores(ix, asked, "qid", "query"), dense.cosine_scores(*hashed), alpha, k), 6)
     got = fusion.best_reciprocal(*fusion.both_parts(ix, asked, *hashed), 6, ix.mean_length, alpha, k)
     assert _plain(got, "qid", "nth", "pos", "score") == _plain(want, "qid", "nth", "pos", "score") and want.count() > 40
+
+
+def test_best_deep(drawn, hashed, monkeypatch):
+    """Two passes over many blocks leave out rows, but none of the k best."""
+    for name, value in (("LEAST", 8), ("TASKS", 16), ("QUERIES", 6)):
+        monkeypatch.setattr(scan, name, value)
+    rows, asked = drawn
+    ix = lexical.build_index(rows, "pos", "texto")
+    parts, kinds = fusion.both_parts(ix, asked, *hashed), ["word", "cosine"]
+    whole, deep = (f(*parts, kinds, 12, ix.mean_length) for f in (scan.best, scan.best_deep))
+    for i in (0, 1):
+        want, got = (_plain(lexical.best(x.filter(F.col("kind") == i), 12), "qid", "nth", "pos", "score") for x in (whole, deep))
+        assert want and got == want
+    assert deep.count() < whole.count()
