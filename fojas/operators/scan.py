@@ -1,6 +1,6 @@
 """Exact scores of many queries against all rows, block by block: the best rows, the scores of given ones and what stands ahead of them.
 
-A task holds one block of rows and one of queries and takes the scores of all their pairs, a few queries at a time; only what was asked for
+A task holds one block of its rows and the queries and takes the scores of all their pairs, a few queries at a time; only what was asked for
 leaves it. So the work grows with rows times queries, but no table does. A score is one of three kinds: ``"word"`` (BM25),
 ``"cosine"``, or a number alpha: alpha * cosine + (1 - alpha) * word, each over its query's largest one.
 
@@ -12,56 +12,75 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fojas.plans.lineage import written
 
 Kind = str | float
 
-#: Most rows and queries of a task (about); fewer rows, but no fewer than LEAST, make up to TASKS tasks of a small table. Pairs scored at once.
-ROWS, QUERIES, LEAST, TASKS, PAIRS = 32_768, 8_192, 1_024, 24, 1 << 21
+#: Most rows of a block and queries sent at once (about); fewer rows, but no fewer than LEAST, make up to TASKS blocks of a small table. Pairs scored at once.
+ROWS, QUERIES, LEAST, TASKS, PAIRS = 32_768, 65_536, 1_024, 24, 1 << 18
 K1, B = 1.2, 0.75
 
 
+class _Asked:
+    """The queries of a task."""
+
+    def __init__(self, t: pa.Table):
+        self.table, self.qid = t, t.column("qid")
+        if "words" in t.column_names:
+            words = _one(t.column("words"))
+            self.vocabulary = words.flatten().unique()
+            self.lengths = words.value_lengths().fill_null(0).to_numpy()
+            self.codes, self.weights = pc.index_in(words.flatten(), value_set=self.vocabulary).to_numpy(), _one(t.column("weights")).flatten().to_numpy()
+            self.begins = np.cumsum(self.lengths) - self.lengths
+        if "vector" in t.column_names:
+            self.vectors = _matrix(_one(t.column("vector")))
+            self.sizes = _sizes(self.vectors)
+
+    def column(self, name: str) -> pa.Array:
+        return _one(self.table.column(name))
+
+    def __len__(self) -> int:
+        return len(self.table)
+
+
 class _Block:
-    """The rows and queries of a task, rows by pos."""
+    """Rows of a task, by pos, with its queries."""
 
-    def __init__(self, t: pa.Table, mean: float):
-        is_query = t.column("qid").is_valid()
-        rows, self.asked = t.filter(pc.invert(is_query)), t.filter(is_query)
+    def __init__(self, rows: pa.Table, asked: _Asked, mean: float):
+        self.asked, self.qid = asked, asked.qid
         rows = rows.take(pc.sort_indices(rows, [("pos", "ascending")])).combine_chunks()
         self.n, self.pos = len(rows), rows.column("pos")
-        self.qid = self.asked.column("qid")
-        if "doc" in t.column_names:
+        if "doc" in rows.column_names:
             docs = _one(rows.column("doc")).dictionary_encode(null_encoding="encode")
             self.docs, self.doc = docs.dictionary, docs.indices.to_numpy()
-        if "words" in t.column_names:
+        if "terms" in rows.column_names and "words" in asked.table.column_names:
             self._postings(rows, mean)
-        if "vector" in t.column_names:
-            self.vectors, self.asked_vectors = (_matrix(_one(x.column("vector"))) for x in (rows, self.asked))
+        if "vector" in rows.column_names and "vector" in asked.table.column_names:
+            self.vectors, self.asked_vectors = _matrix(_one(rows.column("vector"))), asked.vectors
             dim = max(self.vectors.shape[1], self.asked_vectors.shape[1])
             self.vectors, self.asked_vectors = (x if x.shape[1] == dim else np.zeros((len(x), dim)) for x in (self.vectors, self.asked_vectors))
-            self.sizes, self.asked_sizes = (_sizes(x) for x in (self.vectors, self.asked_vectors))
+            self.sizes, self.asked_sizes = _sizes(self.vectors), asked.sizes
 
     def _postings(self, rows: pa.Table, mean: float) -> None:
-        words, terms = _one(self.asked.column("words")), _one(rows.column("terms"))
-        vocabulary = words.flatten().unique()
-        self.lengths = words.value_lengths().fill_null(0).to_numpy()
-        self.codes, self.weights = pc.index_in(words.flatten(), value_set=vocabulary).to_numpy(), _one(self.asked.column("weights")).flatten().to_numpy()
-        self.begins = np.cumsum(self.lengths) - self.lengths
+        terms, known_terms = _one(rows.column("terms")), self.asked.vocabulary
+        self.lengths, self.codes, self.weights, self.begins = self.asked.lengths, self.asked.codes, self.asked.weights, self.asked.begins
         at = np.repeat(np.arange(self.n), terms.value_lengths().fill_null(0).to_numpy())
-        code = pc.index_in(terms.flatten(), value_set=vocabulary)
+        code = pc.index_in(terms.flatten(), value_set=known_terms)
         known = code.is_valid().to_numpy(zero_copy_only=False)
         code, at, f = code.drop_null().to_numpy(), at[known], _one(rows.column("f")).flatten().to_numpy()[known].astype(float)
         dl = rows.column("dl").to_numpy()[at]
         order = np.argsort(code, kind="stable")
         self.at, self.impact = at[order], (f * (K1 + 1) / (f + K1 * (1 - B + B * dl / mean)))[order]
-        self.starts = np.searchsorted(code[order], np.arange(len(vocabulary) + 1))
+        self.starts = np.searchsorted(code[order], np.arange(len(known_terms) + 1))
         self.wide: dict[int, np.ndarray] = {}  # terms of a quarter of the rows and more
 
     def _words(self, lo: int, hi: int) -> np.ndarray:
@@ -87,24 +106,28 @@ class _Block:
         return out
 
     def scores(self, kinds: list[Kind]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(index of the kind, index of the first query, scores of some queries with all rows)."""
+        """(index of the kind, index of the first query, scores of some queries with all rows); a kind's part without weight isn't taken."""
         step = max(1, PAIRS // max(self.n, 1))
+        with_words, with_cosines = (any(x == own or not isinstance(x, str) and x != none for x in kinds) for own, none in (("word", 1.0), ("cosine", 0.0)))
         fused = any(not isinstance(x, str) for x in kinds)
         for lo in range(0, len(self.asked) if self.n else 0, step):
             hi = min(lo + step, len(self.asked))
-            words = self._words(lo, hi) if fused or "word" in kinds else None
-            cosines = self._cosines(lo, hi) if fused or "cosine" in kinds else None
+            words = self._words(lo, hi) if with_words else None
+            cosines = self._cosines(lo, hi) if with_cosines else None
             if fused:
-                by_word, by_cosine = (self._over(x, c, lo, hi) for x, c in ((words, "top_word"), (cosines, "top_cosine")))
+                by_word, by_cosine = (None if x is None else self._over(x, c, lo, hi) for x, c in ((words, "top_word"), (cosines, "top_cosine")))
             for i, kind in enumerate(kinds):
                 if isinstance(kind, str):
                     yield i, lo, words if kind == "word" else cosines
+                elif kind in (0.0, 1.0):
+                    yield i, lo, by_cosine if kind else by_word
                 else:
                     yield i, lo, kind * by_cosine + (1 - kind) * by_word
 
     def _over(self, s: np.ndarray, column: str, lo: int, hi: int) -> np.ndarray:
         top = self.asked.column(column).slice(lo, hi - lo).fill_null(0.0).to_numpy()[:, None]
-        return np.divide(s, top, out=np.zeros_like(s), where=(s > 0) & (top > 0))
+        out = s / np.where(top > 0, top, np.inf)
+        return np.fmax(out, 0.0, out=out)
 
 
 def _one(column: pa.ChunkedArray) -> pa.Array:
@@ -137,8 +160,16 @@ def _first(s: np.ndarray, k: int, floor: np.ndarray | float = 0.0) -> tuple[np.n
     whole = s.shape[1] // width * width
     most = s[:, :whole].reshape(len(s), -1, width).max(axis=2)
     least = np.partition(most, most.shape[1] - k, axis=1)[:, [most.shape[1] - k]] if most.shape[1] >= k else np.zeros((len(s), 1))
-    q, r = np.nonzero((s > 0) & (s >= np.maximum(least, floor) - 2e-9))
-    order = np.lexsort((r, -np.round(s[q, r], 9), q))
+    least = np.maximum(least, floor) - 2e-9
+    q, r = np.nonzero((most > 0) & (most >= least))  # only these stretches have such rows
+    q, r = np.repeat(q, width), (r[:, None] * width + np.arange(width)).ravel()
+    if whole < s.shape[1]:
+        rest = np.arange(whole, s.shape[1])
+        q, r = np.append(q, np.repeat(np.arange(len(s)), len(rest))), np.append(r, np.tile(rest, len(s)))
+    x = s[q, r]
+    keep = (x > 0) & (x >= least[q, 0])
+    q, r, x = q[keep], r[keep], x[keep]
+    order = np.lexsort((r, -np.round(x, 9), q))
     q, r = q[order], r[order]
     few = np.arange(len(q)) - np.searchsorted(q, q) < k
     return q[few], r[few]
@@ -167,28 +198,47 @@ def _ahead(s: np.ndarray, own: np.ndarray, before: np.ndarray, doc: np.ndarray,
     return out
 
 
-def _run(rows: DataFrame, asked: DataFrame, mean: float, by: str, work: Callable[[_Block], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``work`` over every block of rows with every block of queries, each a partition of its own; rows with equal ``by`` share a block."""
-    nb, nq = _blocks(rows), max(1, math.ceil(asked.count() / QUERIES))
-
-    def part(c: str, k: int) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-
-    def every(k: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+def _run(rows: DataFrame, asked: DataFrame, mean: float, by: str | None, work: Callable[[Iterator[_Block]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` over the blocks of each task's rows, with up to ``QUERIES`` queries at a time, which are sent to all tasks at once.
 
-    left = rows.withColumn("__b", part(by, nb)).withColumn("__q", every(nq))
-    right = asked.withColumn("__q", part("qid", nq)).withColumn("__b", every(nb))
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("__group", F.col("__q") * nb + F.col("__b")).drop("__b", "__q")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]  # one group: a partition has no other rows
-        if held:
-            t = pa.Table.from_batches(held)
-            for own in t.column("__group").unique().to_pylist():
-                yield from work(_Block(t.filter(pc.equal(t.column("__group"), own)), mean))
-
-    return both.repartitionById(nb * nq, "__group").mapInArrow(run, schema)
+    Rows with equal ``by`` share a block, which takes a shuffle; without it rows stay where they are, and a block is a stretch of a task's rows.
+    """
+    n, nb, nq, sc = rows.count(), _blocks(rows), max(1, math.ceil(asked.count() / QUERIES)), rows.sparkSession.sparkContext
+    most = math.ceil(n / nb) if by is None else n
+    spread = rows if by is None else rows.repartition(nb, by)
+
+    def found(part: int) -> DataFrame:
+        own = asked if nq == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(nq)) == part)
+        t = own.toArrow()  # about QUERIES rows
+        buffer = pa.BufferOutputStream()
+        with pa.ipc.new_stream(buffer, t.schema) as out:
+            out.write_table(t)
+        sent = sc.broadcast(buffer.getvalue().to_pybytes())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = _stretches(batches, most)
+            first = next(parts, None)
+            if first is not None:
+                queries = _Asked(pa.ipc.open_stream(sent.value).read_all())
+                yield from work(_Block(t, queries, mean) for t in chain([first], parts))
+
+        return spread.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, [found(i) for i in range(nq)])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        while b.num_rows:
+            some = b.slice(0, most - n)
+            held, n, b = [*held, some], n + some.num_rows, b.slice(some.num_rows)
+            if n == most:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _blocks(rows: DataFrame) -> int:
@@ -205,13 +255,30 @@ def best(rows: DataFrame, asked: DataFrame, kinds: list[Kind], k: int, mean: flo
 
     Scores below the query's number in the array ``floor`` of ``asked``, by kind, are left out if that column is there.
     """
-    def work(b: _Block) -> Iterator[pa.RecordBatch]:
-        floor = _matrix(_one(b.asked.column("floor"))) if "floor" in b.asked.column_names else np.zeros((len(b.asked), len(kinds)))
-        for kind, lo, s in b.scores(kinds):
-            q, r = _first(s, k, floor[lo : lo + len(s), [kind]])
-            yield _batch({"kind": pa.array(np.full(len(q), kind, np.int32)), "qid": b.qid.take(pa.array(q + lo)), "pos": b.pos.take(pa.array(r)), "score": pa.array(s[q, r])})
+    def work(blocks: Iterator[_Block]) -> Iterator[pa.RecordBatch]:
+        for b in blocks:
+            floor = _matrix(b.asked.column("floor")) if "floor" in b.asked.table.column_names else np.zeros((len(b.asked), len(kinds)))
+            for kind, lo, s in b.scores(kinds):
+                q, r = _first(s, k, floor[lo : lo + len(s), [kind]])
+                yield _batch({"kind": pa.array(np.full(len(q), kind, np.int32)), "qid": b.qid.take(pa.array(q + lo)), "pos": b.pos.take(pa.array(r)), "score": pa.array(s[q, r])})
+
+    return _run(rows, asked, mean, None, work, f"kind int, qid {_type(asked, 'qid')}, pos {_type(rows, 'pos')}, score double")
+
+
+def largest(rows: DataFrame, asked: DataFrame, kinds: list[Kind], mean: float = 1.0) -> DataFrame:
+    """(kind int, qid, score): the largest positive scores of every query in each task; the largest of all is among them."""
+    def work(blocks: Iterator[_Block]) -> Iterator[pa.RecordBatch]:
+        tops, b = None, None
+        for b in blocks:
+            tops = np.zeros((len(kinds), len(b.asked))) if tops is None else tops
+            for kind, lo, s in b.scores(kinds):
+                own = tops[kind, lo : lo + len(s)]
+                np.maximum(own, s.max(axis=1), out=own)
+        if b is not None:
+            kind, q = np.nonzero(tops)
+            yield _batch({"kind": pa.array(kind.astype(np.int32)), "qid": b.qid.take(pa.array(q)), "score": pa.array(tops[kind, q])})
 
-    return _run(rows, asked, mean, "pos", work, f"kind int, qid {_type(asked, 'qid')}, pos {_type(rows, 'pos')}, score double")
+    return _run(rows, asked, mean, None, work, f"kind int, qid {_type(asked, 'qid')}, score double")
 
 
 def best_deep(rows: DataFrame, asked: DataFrame, kinds: list[Kind], k: int, mean: float = 1.0) -> DataFrame:
@@ -228,8 +295,8 @@ def best_deep(rows: DataFrame, asked: DataFrame, kinds: list[Kind], k: int, mean
 
 def best_places(rows: DataFrame, asked: DataFrame, kinds: list[Kind], mean: float = 1.0) -> DataFrame:
     """(kind int, qid, doc, s, pos): the best row of every document of the array ``wanted`` of a query, its score to nine digits; only positive ones."""
-    def work(b: _Block) -> Iterator[pa.RecordBatch]:
-        wanted = _one(b.asked.column("wanted"))
+    def of(b: _Block) -> Iterator[pa.RecordBatch]:
+        wanted = b.asked.column("wanted")
         begins = np.append(0, np.cumsum(wanted.value_lengths().fill_null(0).to_numpy()))
         code = pc.index_in(wanted.flatten(), value_set=b.docs).fill_null(-1).to_numpy()
         order = np.argsort(b.doc, kind="stable")
@@ -247,13 +314,17 @@ def best_places(rows: DataFrame, asked: DataFrame, kinds: list[Kind], mean: floa
             q, c, r, at = (np.array(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
             yield _batch({"kind": pa.array(np.full(len(q), kind, np.int32)), "qid": b.qid.take(pa.array(q)), "doc": b.docs.take(pa.array(c)), "s": pa.array(r.astype(float)), "pos": b.pos.take(pa.array(at))})
 
+    def work(blocks: Iterator[_Block]) -> Iterator[pa.RecordBatch]:
+        return chain.from_iterable(map(of, blocks))
+
     return _run(rows, asked, mean, "doc", work, f"kind int, qid {_type(asked, 'qid')}, doc {_type(rows, 'doc')}, s double, pos {_type(rows, 'pos')}")
 
 
-def ahead(rows: DataFrame, asked: DataFrame, kinds: list[Kind], mean: float = 1.0) -> DataFrame:
-    """(kind int, qid, pos, n): for each block and each place of the array ``own (kind, s, pos)`` of a query, how many documents have a row ahead of it."""
-    def work(b: _Block) -> Iterator[pa.RecordBatch]:
-        own = _one(b.asked.column("own"))
+def ahead(rows: DataFrame, asked: DataFrame, kinds: list[Kind], mean: float = 1.0, top: tuple[int, int] | None = None) -> DataFrame:
+    """(kind int, qid, pos, n, score): for each block and each place of the array ``own (kind, s, pos)`` of a query, how many documents have a row ahead
+    of it. With ``top``, a kind's index and k, also each block's k best rows of that kind as :func:`best` gives them, with their score and without n."""
+    def of(b: _Block) -> Iterator[pa.RecordBatch]:
+        own = b.asked.column("own")
         flat, begins = own.flatten(), np.append(0, np.cumsum(own.value_lengths().fill_null(0).to_numpy()))
         of, score, pos = (flat.field(i).to_numpy() for i in range(3))
         before = np.searchsorted(b.pos.to_numpy(), pos)
@@ -266,15 +337,40 @@ def ahead(rows: DataFrame, asked: DataFrame, kinds: list[Kind], mean: float = 1.
                     n.append(_ahead(s[i], score[j], before[j], b.doc, len(b.docs)))
             j = np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)
             q = np.searchsorted(begins, j, side="right") - 1
-            yield _batch({"kind": pa.array(np.full(len(j), kind, np.int32)), "qid": b.qid.take(pa.array(q)), "pos": pa.array(pos[j]), "n": pa.array(np.concatenate([*n, np.zeros(0, np.int64)]).astype(np.int64))})
+            yield batch(b, kind, q, pa.array(pos[j]), n=pa.array(np.concatenate([*n, np.zeros(0, np.int64)]).astype(np.int64)))
+            if top and kind == top[0]:
+                q, r = _first(s, top[1])
+                yield batch(b, kind, q + lo, b.pos.take(pa.array(r)), score=pa.array(s[q, r]))
+
+    def batch(b: _Block, kind: int, q: np.ndarray, pos: pa.Array, n: pa.Array | None = None, score: pa.Array | None = None) -> pa.RecordBatch:
+        return _batch({
+            "kind": pa.array(np.full(len(q), kind, np.int32)), "qid": b.qid.take(pa.array(q)), "pos": pos,
+            "n": pa.nulls(len(q), pa.int64()) if n is None else n, "score": pa.nulls(len(q), pa.float64()) if score is None else score,
+        })
+
+    def work(blocks: Iterator[_Block]) -> Iterator[pa.RecordBatch]:
+        return chain.from_iterable(map(of, blocks))
 
-    return _run(rows, asked, mean, "doc", work, f"kind int, qid {_type(asked, 'qid')}, pos {_type(rows, 'pos')}, n long")
+    return _run(rows, asked, mean, "doc", work, f"kind int, qid {_type(asked, 'qid')}, pos {_type(rows, 'pos')}, n long, score double")
 
 
 def placed(rows: DataFrame, asked: DataFrame, own: DataFrame, kinds: list[Kind], mean: float = 1.0) -> DataFrame:
     """(kind, qid, pos, rank): the places of the rows ``own (kind, qid, s, pos)`` among all documents by their scores of a kind."""
+    return _places(ahead(rows, _with_own(asked, own, "inner"), kinds, mean))
+
+
+def placed_and_best(rows: DataFrame, asked: DataFrame, own: DataFrame, kinds: list[Kind], top: tuple[int, int], mean: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """:func:`placed`, and :func:`best` for one of the kinds, ``top`` being its index and k, from the same scores."""
+    found = written(ahead(rows, _with_own(asked, own, "left"), kinds, mean, top), "ahead")
+    return _places(found.filter("n IS NOT NULL")), found.filter("score IS NOT NULL").select("kind", "qid", "pos", "score")
+
+
+def _with_own(asked: DataFrame, own: DataFrame, how: str) -> DataFrame:
     lists = own.groupBy("qid").agg(F.collect_list(F.struct("kind", "s", "pos")).alias("own"))  # as many as were asked for of a query
-    found = ahead(rows, written(asked.join(lists, "qid"), "placed"), kinds, mean)
+    return written(asked.join(lists, "qid", how), "placed")
+
+
+def _places(found: DataFrame) -> DataFrame:
     return found.groupBy("kind", "qid", "pos").agg((F.sum("n") + 1).alias("rank"))
 
 
