@@ -52,11 +52,27 @@ def counted_places(rows: DataFrame, asked: DataFrame, kinds: list[scan.Kind], re
 
     ``rows`` and ``asked`` are those of :mod:`scan`, ``doc`` being the document of a row.
     """
+    best = _relevant_rows(rows, asked, kinds, relevant, mean)
+    return _ranked(best, scan.placed(rows, asked, best, kinds, mean))
+
+
+def counted_places_and_best(
+    rows: DataFrame, asked: DataFrame, kinds: list[scan.Kind], relevant: DataFrame, top: tuple[int, int], mean: float = 1.0
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`counted_places`, and the best rows of ``scan.best`` for one of the kinds, ``top`` being its index and k, from the same scores."""
+    best = _relevant_rows(rows, asked, kinds, relevant, mean)
+    found, first = scan.placed_and_best(rows, asked, best, kinds, top, mean)
+    return _ranked(best, found), first
+
+
+def _relevant_rows(rows: DataFrame, asked: DataFrame, kinds: list[scan.Kind], relevant: DataFrame, mean: float) -> DataFrame:
     wanted = relevant.select("qid", "doc_id").distinct()
     lists = wanted.groupBy("qid").agg(F.collect_list("doc_id").alias("wanted"))  # what is relevant for a query
     own = rows.join(wanted.select(F.col("doc_id").alias("doc")).distinct(), "doc", "left_semi")
-    best = written(scan.best_places(own, asked.join(lists, "qid"), kinds, mean), "places")
-    found = scan.placed(rows, asked, best, kinds, mean)
+    return written(scan.best_places(written(own, "relevant"), asked.join(lists, "qid"), kinds, mean), "places")
+
+
+def _ranked(best: DataFrame, found: DataFrame) -> DataFrame:
     return best.join(found, ["kind", "qid", "pos"]).select("kind", "qid", F.col("doc").alias("doc_id"), "rank")
 
 
