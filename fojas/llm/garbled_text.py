@@ -460,7 +460,12 @@ def garbled_values(docs: DataFrame, id_col: str, text_cols: list[str], p: Channe
 
 def _with_rarer(values: DataFrame, rarer: DataFrame) -> DataFrame:
     """``values`` with the rarer words that their own words are or could be read as: + rare array<struct<word, other, n>>, null for most."""
-    tokens = F.array_distinct(F.transform(F.split("text", "[ \t\n\r]"), lambda w: F.regexp_replace(w, _EDGE, "")))
-    pairs = values.select("id", "campo", F.explode(F.filter(tokens, lambda w: w.rlike(r"[^\x00-\x7f]"))).alias("word"))
+    pairs = values.select("id", "campo", F.explode(_telling_words(F.col("text"))).alias("word"))
     found = pairs.join(broadcast_if_small(rarer), "word").groupBy("id", "campo").agg(F.collect_set(F.struct("word", "other", "n")).alias("rare"))
     return values.join(broadcast_if_small(written(found, "needed")), ["id", "campo"], "left")
+
+
+def _telling_words(text: Column) -> Column:
+    """The distinct words with a character outside ASCII, without what :data:`_EDGE` strips; that is ASCII alone, so other words go first."""
+    some = F.filter(F.split(text, "[ \t\n\r]"), lambda w: F.octet_length(w) > F.char_length(w))
+    return F.array_distinct(F.transform(some, lambda w: F.regexp_replace(w, _EDGE, "")))

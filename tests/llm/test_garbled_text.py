@@ -75,3 +75,15 @@ def test_words_below_the_broadcast_share_are_joined(spark):
     words, common, total, *_ = g._statistics(df.selectExpr("id", "t AS text"), p)
     assert "ñandú" not in common and ("ñandú", 9) in {(r["other"], r["n"]) for r in g._rarer(words, common, total, p).collect()}
     assert {r["id"]: r["restaurado"] for r in garbled_values(df, "id", ["t"], p).collect()} == {"x": "el ñandú corre"}
+
+
+def test_words_that_need_rarer_ones(spark):
+    """p3_found: only words with a character outside ASCII are stripped, and the same ones are found as by stripping all."""
+    from pyspark.sql import functions as F
+
+    from fojas.llm.garbled_text import _EDGE, _telling_words
+
+    df = spark.createDataFrame([("«año» (niño), 12 plain -é- \tÑu\n.x. é",), ("",), ("plain 1.",), ("\u00a0 \U0001f600! ..ñ..ñ.. (niño)",)], "text string")
+    every = F.array_distinct(F.transform(F.split("text", "[ \t\n\r]"), lambda w: F.regexp_replace(w, _EDGE, "")))
+    rows = df.select(F.filter(every, lambda w: w.rlike(r"[^\x00-\x7f]")).alias("want"), _telling_words(F.col("text")).alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows] and any(r["got"] for r in rows)
