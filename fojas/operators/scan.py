@@ -1,7 +1,8 @@
 """Exact scores of many queries against all rows, block by block: the best rows, the scores of given ones and what stands ahead of them.
 
 A task holds one block of its rows and the queries and takes the scores of all their pairs, a few queries at a time; only what was asked for
-leaves it. So the work grows with rows times queries, but no table does. A score is one of three kinds: ``"word"`` (BM25),
+leaves it. So the work grows with rows times queries, but no table does. Best rows and largest scores are looked for among scores in single
+precision; what the bound of their error doesn't rule out is then scored in double precision. A score is one of three kinds: ``"word"`` (BM25),
 ``"cosine"``, or a number alpha: alpha * cosine + (1 - alpha) * word, each over its query's largest one.
 
 ``rows`` are (pos, doc) and, as needed, (dl, terms, f) of ``lexical.Index.documents`` and ``vector``; ``asked`` are (qid) and (words, weights),
@@ -28,6 +29,8 @@ Kind = str | float
 #: Most rows of a block and queries sent at once (about); fewer rows, but no fewer than LEAST, make up to TASKS blocks of a small table. Pairs scored at once.
 ROWS, QUERIES, LEAST, TASKS, PAIRS = 32_768, 65_536, 1_024, 24, 1 << 18
 K1, B = 1.2, 0.75
+#: A bound of a step's relative error in single precision, and the largest factor that is taken to it.
+UNIT, LARGEST = 1.2e-7, 1e30
 
 
 class _Asked:
@@ -81,6 +84,7 @@ class _Block:
         order = np.argsort(code, kind="stable")
         self.at, self.impact = at[order], (f * (K1 + 1) / (f + K1 * (1 - B + B * dl / mean)))[order]
         self.starts = np.searchsorted(code[order], np.arange(len(known_terms) + 1))
+        self.keys = code[order].astype(np.int64) * self.n + self.at
         self.wide: dict[int, np.ndarray] = {}  # terms of a quarter of the rows and more
 
     def _words(self, lo: int, hi: int) -> np.ndarray:
@@ -115,7 +119,7 @@ class _Block:
             words = self._words(lo, hi) if with_words else None
             cosines = self._cosines(lo, hi) if with_cosines else None
             if fused:
-                by_word, by_cosine = (None if x is None else self._over(x, c, lo, hi) for x, c in ((words, "top_word"), (cosines, "top_cosine")))
+                by_word, by_cosine = (None if x is None else self._over(x, c, slice(lo, hi)) for x, c in ((words, "top_word"), (cosines, "top_cosine")))
             for i, kind in enumerate(kinds):
                 if isinstance(kind, str):
                     yield i, lo, words if kind == "word" else cosines
@@ -124,8 +128,94 @@ class _Block:
                 else:
                     yield i, lo, kind * by_cosine + (1 - kind) * by_word
 
-    def _over(self, s: np.ndarray, column: str, lo: int, hi: int) -> np.ndarray:
-        top = self.asked.column(column).slice(lo, hi - lo).fill_null(0.0).to_numpy()[:, None]
+    def rough(self, kind: Kind) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(index of the first query, scores of some queries with all rows in single precision, by query a bound of their error and what positive scores lie above).
+
+        Where single precision can't hold the numbers the scores are those of :meth:`scores`.
+        """
+        by_word, by_cosine = self._factors(kind, "word"), self._factors(kind, "cosine")
+        sound = by_cosine is None or all(np.isfinite(x).all() for x in (self.vectors, self.sizes, self.asked_vectors, self.asked_sizes))
+        if not sound or any(x is not None and x.max(initial=0) > LARGEST for x in (by_word, by_cosine)):
+            for _, lo, s in self.scores([kind]):
+                yield lo, s, np.zeros(len(s)), np.zeros(len(s))
+            return
+        signed = False
+        if by_cosine is not None:
+            base = np.ascontiguousarray((self.vectors / self.sizes[:, None]).T, np.float32)
+            asked = (self.asked_vectors * (by_cosine / self.asked_sizes)[:, None]).astype(np.float32)
+            signed = base.min(initial=0) < 0 or asked.min(initial=0) < 0  # else rounding leaves positive scores positive
+        if by_word is not None:
+            impact = self.impact.astype(np.float32)
+            starts, codes, begins = self.starts.tolist(), self.codes.tolist(), np.append(self.begins, len(self.codes)).tolist()
+            weights = (self.weights * np.repeat(by_word, self.lengths)).astype(np.float32)
+            wide = {}  # terms of an eighth of the rows and more
+            for c in np.flatnonzero(np.diff(self.starts) > self.n / 8).tolist():
+                wide[c] = np.zeros(self.n, np.float32)
+                wide[c][self.at[starts[c] : starts[c + 1]]] = impact[starts[c] : starts[c + 1]]
+            part = np.empty(self.n, np.float32)
+        step = max(1, 2 * PAIRS // max(self.n, 1))
+        for lo in range(0, len(self.asked) if self.n else 0, step):
+            hi = min(lo + step, len(self.asked))
+            error, s = np.zeros(hi - lo), None
+            if by_cosine is not None:
+                s = asked[lo:hi] @ base
+                error = by_cosine[lo:hi] * ((len(base) + 8) * UNIT)
+                if kind != "cosine":
+                    np.maximum(s, 0, out=s)
+            if by_word is not None:
+                words = np.zeros((hi - lo, self.n), np.float32)
+                for i in range(lo, hi):
+                    own = words[i - lo]
+                    for j in range(begins[i], begins[i + 1]):
+                        c = codes[j]
+                        if c in wide:
+                            own += np.multiply(wide[c], weights[j], out=part)
+                        elif (a := starts[c]) < (b := starts[c + 1]):
+                            own[self.at[a:b]] += weights[j] * impact[a:b]
+                error = error + words.max(axis=1) * ((self.lengths[lo:hi] + 8) * UNIT)
+                s = words if s is None else np.add(s, words, out=s)
+            yield lo, s, error, -2 * error if signed else np.zeros(hi - lo)
+
+    def _factors(self, kind: Kind, part: str) -> np.ndarray | None:
+        """What the scores of a part are multiplied by for each query; None of a part without weight."""
+        if isinstance(kind, str):
+            return np.ones(len(self.asked)) if kind == part else None
+        weight = kind if part == "cosine" else 1 - kind
+        if not weight:
+            return None
+        top = self.asked.column("top_" + part).fill_null(0.0).to_numpy()
+        return weight / np.where(top > 0, top, np.inf)
+
+    def exact(self, kind: Kind, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """The scores of these pairs of query and row, as in :meth:`scores`."""
+        out = np.zeros(len(q))
+        for i in range(0, len(q), PAIRS):
+            a, b = q[i : i + PAIRS], r[i : i + PAIRS]
+            words = self._own_words(a, b) if kind not in ("cosine", 1.0) else None
+            cosines = np.einsum("ij,ij->i", self.asked_vectors[a], self.vectors[b]) / (self.asked_sizes[a] * self.sizes[b]) if kind not in ("word", 0.0) else None
+            if not isinstance(kind, str):
+                words, cosines = (None if x is None else self._over(x, c, a) for x, c in ((words, "top_word"), (cosines, "top_cosine")))
+                if kind not in (0.0, 1.0):
+                    words = kind * cosines + (1 - kind) * words
+            out[i : i + PAIRS] = cosines if words is None else words
+        return out
+
+    def _own_words(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Terms are added in the order of the query here, too."""
+        n = self.lengths[q]
+        pair = np.repeat(np.arange(len(q)), n)
+        nth = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        j = self.begins[q][pair] + nth
+        key = self.codes[j].astype(np.int64) * self.n + r[pair]
+        order = np.argsort(key)  # looked up in order, which is faster
+        at = np.empty(len(key), np.int64)
+        at[order] = np.searchsorted(self.keys, key[order])
+        found = np.flatnonzero(np.append(self.keys, -1)[at] == key)
+        return np.bincount(pair[found], self.weights[j[found]] * self.impact[at[found]], minlength=len(q))
+
+    def _over(self, s: np.ndarray, column: str, q: slice | np.ndarray) -> np.ndarray:
+        top = self.asked.column(column).fill_null(0.0).to_numpy()[q]
+        top = top.reshape(-1, *[1] * (s.ndim - 1))
         out = s / np.where(top > 0, top, np.inf)
         return np.fmax(out, 0.0, out=out)
 
@@ -151,23 +241,37 @@ def _sizes(v: np.ndarray) -> np.ndarray:
     return np.where(size > 0, size, 1.0)
 
 
-def _first(s: np.ndarray, k: int, floor: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the k best positive scores of each query, without those below its ``floor``.
+def _first(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the k best positive scores of each query."""
+    q, r = _near_first(s, k, np.zeros(len(s)), np.zeros(len(s)), 0.0)
+    return _ordered(q, r, s[q, r], k)
+
+
+def _near_first(s: np.ndarray, k: int, error: np.ndarray, above: np.ndarray, floor: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all that may be among the k best positive scores of each query and not below its ``floor``, if ``s`` is wrong by ``error`` at most
+    and only rows ``above`` that can be positive.
 
     The k-th largest of the maxima of stretches of a query's scores bounds its k-th score from below.
     """
-    width = max(1, s.shape[1] // (8 * k))
+    error, above = error[:, None], above[:, None]
+    width = max(1, min(128, s.shape[1] // (8 * k)))
     whole = s.shape[1] // width * width
     most = s[:, :whole].reshape(len(s), -1, width).max(axis=2)
     least = np.partition(most, most.shape[1] - k, axis=1)[:, [most.shape[1] - k]] if most.shape[1] >= k else np.zeros((len(s), 1))
-    least = np.maximum(least, floor) - 2e-9
-    q, r = np.nonzero((most > 0) & (most >= least))  # only these stretches have such rows
+    least = np.maximum(least - 2 * error, floor - error) - 2e-9
+    q, r = np.nonzero((most > above) & (most >= least))  # only these stretches have such rows
     q, r = np.repeat(q, width), (r[:, None] * width + np.arange(width)).ravel()
     if whole < s.shape[1]:
         rest = np.arange(whole, s.shape[1])
         q, r = np.append(q, np.repeat(np.arange(len(s)), len(rest))), np.append(r, np.tile(rest, len(s)))
     x = s[q, r]
-    keep = (x > 0) & (x >= least[q, 0])
+    keep = (x > above[q, 0]) & (x >= least[q, 0])
+    return q[keep], r[keep]
+
+
+def _ordered(q: np.ndarray, r: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of these pairs with their scores ``x`` for each query, positive ones that aren't below its ``floor``."""
+    keep = (x > 0) & (x >= (floor - 2e-9)[q] if isinstance(floor, np.ndarray) else x > 0)
     q, r, x = q[keep], r[keep], x[keep]
     order = np.lexsort((r, -np.round(x, 9), q))
     q, r = q[order], r[order]
@@ -255,12 +359,24 @@ def best(rows: DataFrame, asked: DataFrame, kinds: list[Kind], k: int, mean: flo
 
     Scores below the query's number in the array ``floor`` of ``asked``, by kind, are left out if that column is there.
     """
+    def chosen(b: _Block, i: int, pairs: list[tuple[np.ndarray, np.ndarray]], floor: np.ndarray) -> pa.RecordBatch:
+        q, r = map(np.concatenate, zip(*pairs, strict=True))
+        x = b.exact(kinds[i], q, r)
+        at = _ordered(q, np.arange(len(q)), x, k, floor[:, i])[1]  # rows of a query are in their order
+        return _batch({"kind": pa.array(np.full(len(at), i, np.int32)), "qid": b.qid.take(pa.array(q[at])), "pos": b.pos.take(pa.array(r[at])), "score": pa.array(x[at])})
+
     def work(blocks: Iterator[_Block]) -> Iterator[pa.RecordBatch]:
         for b in blocks:
-            floor = _matrix(b.asked.column("floor")) if "floor" in b.asked.table.column_names else np.zeros((len(b.asked), len(kinds)))
-            for kind, lo, s in b.scores(kinds):
-                q, r = _first(s, k, floor[lo : lo + len(s), [kind]])
-                yield _batch({"kind": pa.array(np.full(len(q), kind, np.int32)), "qid": b.qid.take(pa.array(q + lo)), "pos": b.pos.take(pa.array(r)), "score": pa.array(s[q, r])})
+            floor = _matrix(b.asked.column("floor")) if "floor" in b.asked.table.column_names and len(b.asked) else np.zeros((len(b.asked), len(kinds)))
+            for i, kind in enumerate(kinds):
+                pairs = [(np.zeros(0, np.int64),) * 2]
+                for lo, s, error, above in b.rough(kind):
+                    q, r = _near_first(s, k, error, above, floor[lo : lo + len(s), [i]])
+                    pairs.append((q + lo, r))
+                    if sum(len(x) for x, _ in pairs) > PAIRS:
+                        yield chosen(b, i, pairs, floor)
+                        pairs = pairs[:1]
+                yield chosen(b, i, pairs, floor)
 
     return _run(rows, asked, mean, None, work, f"kind int, qid {_type(asked, 'qid')}, pos {_type(rows, 'pos')}, score double")
 
@@ -271,9 +387,10 @@ def largest(rows: DataFrame, asked: DataFrame, kinds: list[Kind], mean: float =
         tops, b = None, None
         for b in blocks:
             tops = np.zeros((len(kinds), len(b.asked))) if tops is None else tops
-            for kind, lo, s in b.scores(kinds):
-                own = tops[kind, lo : lo + len(s)]
-                np.maximum(own, s.max(axis=1), out=own)
+            for i, kind in enumerate(kinds):
+                for lo, s, error, above in b.rough(kind):
+                    q, r = _near_first(s, 1, error, above, tops[i, lo : lo + len(s), None])
+                    np.maximum.at(tops[i], q + lo, b.exact(kind, q + lo, r))
         if b is not None:
             kind, q = np.nonzero(tops)
             yield _batch({"kind": pa.array(kind.astype(np.int32)), "qid": b.qid.take(pa.array(q)), "score": pa.array(tops[kind, q])})
