@@ -94,9 +94,10 @@ def _reader(read_as: str, written_in: str, times: int = 1):
         edge = {c: None if (x := bytes([b]).decode(written_in, "replace")) == LOST else x.encode() for c, b in table.items()}
 
     quick = {ord(c): (LOST if e is None else e.decode("latin-1" if written_in == "utf-8" else "utf-8")) for c, e in edge.items()}
+    possible = frozenset(edge) | {LOST}
 
     def once(word: str) -> str | None:
-        if any(ord(c) not in quick and c != LOST for c in word):
+        if not possible.issuperset(word):
             return None
         new = word.translate(quick)  # bytes as characters for UTF-8, else the characters themselves
         return new if written_in != "utf-8" else new.encode("latin-1").decode("utf-8", "replace") if LOST not in new else reading(lattice(word))
@@ -131,9 +132,21 @@ def _kind(c: str) -> str:
     return "l" if c.islower() else "u" if c.isupper() else "a" if c.isalpha() else "d" if c.isdigit() else "e" if not c else "s" if c.isascii() else "o"
 
 
+class _Kinds(dict):
+    """:func:`_kind` of the characters seen."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = found = _kind(c)
+        return found
+
+
+_KINDS = _Kinds()
+_OUTSIDE = re.compile(r"[^\x00-\x7f]")
+
+
 def _signs(word: str) -> list[str]:
     """Each character outside ASCII with the kind of its neighbours."""
-    return [_kind(word[i - 1 : i]) + c + _kind(word[i + 1 : i + 2]) for i, c in enumerate(word) if not c.isascii()]
+    return [_KINDS[word[i - 1 : i]] + word[i] + _KINDS[word[i + 1 : i + 2]] for i in (m.start() for m in _OUTSIDE.finditer(word))]
 
 
 class _Lexicon:
@@ -240,6 +253,11 @@ class _Corpus:
         return -self.p.unknown + sum(self.sign.get(s, self.no_sign) for s in _signs(bare)), token
 
 
+def _printed(text: str) -> bool:
+    """Whether all characters are printed ones without spaces; no-break spaces and soft hyphens count as such."""
+    return text.isalnum() or (rest := text.replace("\u00a0", "").replace("\u00ad", "")).isprintable() and " " not in rest
+
+
 def _edge_marks_alone(token: str) -> bool:
     """Whether all characters outside ASCII are punctuation or spaces at the token's ends, where they stand in sound text, too."""
     i, j = 0, len(token)
@@ -258,23 +276,27 @@ class _Tokens(dict):
 
     def __missing__(self, t: str) -> tuple[list[tuple[float, str]], float]:
         corpus = self.corpus
-        s, filled = corpus.score(_MARK.sub(LOST, t))
-        plain, _ = corpus.score(t)
+        marked = _MARK.sub(LOST, t) if "?" in t else t
+        s, filled = corpus.score(marked)
+        plain = s if marked == t else corpus.score(t)[0]
         options = [(max(s, plain), filled if s > plain or LOST in t else t)]
-        edges = _edge_marks_alone(t)
+        edges, letter, telling, lost, ascii_alone = _edge_marks_alone(t), _LETTER.search(t), _TELLING.search(t), LOST in t, t.isascii()
+        no_text = (options[0][0] - 12.0, options[0][1])
         for _, one_byte, read, edges_of in self.ways:
             d = read(t)
-            if d is None or any(c.isspace() or not (c.isprintable() or c == "\u00ad") for c in d if c != "\u00a0"):
-                options.append((options[0][0] - 12.0, options[0][1]) if d is not None or not t.isascii() else options[0])
+            if d is None or not _printed(d):
+                options.append(no_text if d is not None or not ascii_alone else options[0])
                 continue
-            known = _LETTER.search(t) and corpus.known(_EDGES.sub("", d)) is not None
-            if not known and (not _LETTER.search(t) or not _TELLING.search(t) or (one_byte and edges)):
+            known = letter and corpus.known(_EDGES.sub("", d)) is not None
+            if not known and (not letter or not telling or (one_byte and edges)):
                 # a sign alone, a no-break space or a mark beside an unknown word tells nothing, but shares its stretch's channel
                 options.append((options[0][0], d))
+            elif LOST not in d:
+                options.append(corpus.score(d))
             else:
-                s, filled = corpus.score(d, edges_of(t) if LOST in d else None)
-                # bytes that are no text in the other encoding, and no known word fits them
-                options.append((options[0][0] - 12.0, options[0][1]) if LOST in filled else (s, filled))
+                # bytes that are no text in the other encoding: without a lost one among them (or where no known word fits) they stay so
+                s, filled = corpus.score(d, edges_of(t)) if lost or one_byte else no_text
+                options.append(no_text if LOST in filled else (s, filled))
         gain = math.inf if options[0][1] != t or LOST in t else max(o[0] for o in options) - options[0][0]
         if len(self) > 200_000:
             self.clear()

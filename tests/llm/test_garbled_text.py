@@ -87,3 +87,15 @@ def test_words_that_need_rarer_ones(spark):
     every = F.array_distinct(F.transform(F.split("text", "[ \t\n\r]"), lambda w: F.regexp_replace(w, _EDGE, "")))
     rows = df.select(F.filter(every, lambda w: w.rlike(r"[^\x00-\x7f]")).alias("want"), _telling_words(F.col("text")).alias("got")).collect()
     assert [r["got"] for r in rows] == [r["want"] for r in rows] and any(r["got"] for r in rows)
+
+
+def test_readings_that_are_no_text_are_not_scored(monkeypatch):
+    """p3_found: a word that has lost nothing can't be filled, so a reading of it that is no UTF-8 needs no score."""
+    scored, score = [], g._Corpus.score
+    monkeypatch.setattr(g._Corpus, "score", lambda self, token, edges=None: scored.append((token, edges)) or score(self, token, edges))
+    corpus = g._Corpus({"resolución": 900, "año": 500}, 1400, {"lól": 900, "lñl": 500}, 1400, g.Channels())
+    tokens = g._Tokens(corpus, g.channels())
+    options, gain = tokens["resolución,"]
+    assert options[0] == score(corpus, "resolución,") and gain == 0
+    assert all(g.LOST not in t or edges is not None and None in edges for t, edges in scored) and len(scored) < 20
+    assert tokens["resoluciÃ³n"][1] > 3 and tokens["resoluci�n"][0][0][1] == "resolución"
