@@ -127,15 +127,15 @@ def _strategies() -> str:
         f"SELECT *, '{name}' AS estrategia FROM {_metrics(_rank(of, _ALL))}"
         for name, of in (("keyword", "lex"), ("semantic", "den"), ("hybrid_0.5", "h5"), ("hybrid_0.7", "h7"))
     ]
-    parts.append(f"SELECT *, 'hybrid_0.7_rerank' AS estrategia FROM {_metrics(_second('h7'))}")
+    parts.append(f"SELECT *, 'hybrid_0.7_rerank' AS estrategia FROM {_metrics(_second('h7', 'texto'))}")
     return f"WITH {_bm25()}, {_DENSE}, {_linear(0.5, 'h5')}, {_linear(0.7, 'h7')}, m AS ({' UNION ALL '.join(parts)})"
 
 
-def _second(of: str) -> str:
+def _second(of: str, text: str = "left(texto, 2000)") -> str:
     """The 30 best of a table in the order of the second stage."""
     return f"""(SELECT qid, pos, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN k > 1 THEN s END DESC NULLS LAST, nth) AS nth FROM (
   SELECT r.qid, r.pos, nth, count(*) OVER (PARTITION BY r.qid) AS k,
-    len(list_filter(string_split_regex(lower(query), '\\s+'), lambda w: w <> '' AND contains(lower(left(texto, 2000)), w)))::DOUBLE AS s
+    len(list_filter(string_split_regex(lower(query), '\\s+'), lambda w: w <> '' AND contains(lower({text}), w)))::DOUBLE AS s
   FROM {_rank(of, 30)} r JOIN normativa USING (pos) JOIN asked ON asked.qid = r.qid))"""
 
 

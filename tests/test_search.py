@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from fojas import catalog
 from fojas.operators import answer, chunking, dense, evaluate, filters, fusion, index, lexical, rerank, search
 
 TEXTS = ["encaje legal del banco", "tipo de cambio y mesa de cambio", "encaje encaje", None, "pagos"]
@@ -117,6 +118,19 @@ def test_rerank(spark):
     assert al == {("q", 1): float("-inf"), ("q", 2): 0.5, ("q", 3): float("-inf"), ("z", 1): None}
 
 
+def test_second_stage_of_strategies_reads_whole_texts(spark, tmp_path):
+    import duckdb
+
+    objects = [(0, "alfa", "a"), (1, "beta", "b"), (2, "relleno " * 600 + "alfa beta", "c"), (3, "alfa", "d"), (4, "beta", "e"), (5, None, "f")]
+    spark.createDataFrame(objects, "pos long, texto string, doc_id string").write.parquet(f"{tmp_path}/normativa.parquet")
+    spark.createDataFrame([("alfa beta", "c")], "query string, doc_id_relevante string").write.parquet(f"{tmp_path}/eval_set.parquet")
+    con = duckdb.connect()
+    for name in ("normativa", "eval_set"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert [tuple(r) for r in catalog.queries()["eval_best"](spark, str(tmp_path)).collect()] == [("hybrid_0.7_rerank", 1.0)]
+    assert con.sql(catalog.oracle_sql()["eval_best"]).fetchall() == [("hybrid_0.7_rerank", 1.0)]
+
+
 LAW = "TÍTULO I\nCAPÍTULO II De algo\nArtículo 1. " + "Texto del primer artículo con bastante cuerpo. " * 4 + "\nCapítulo III\nArtículo 2.- " + "Otro cuerpo de artículo que sigue aquí. " * 60
 
 
