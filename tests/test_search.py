@@ -131,6 +131,25 @@ def test_second_stage_of_strategies_reads_whole_texts(spark, tmp_path):
     assert con.sql(catalog.oracle_sql()["eval_best"]).fetchall() == [("hybrid_0.7_rerank", 1.0)]
 
 
+def test_strategies_by_words_late_in_texts(spark, tmp_path):
+    """Words beyond 2,000 characters count in the second stage, at the very end of a text too; null texts and queries without words don't disturb it."""
+    import duckdb
+
+    long = [f"relleno{i} " * (300 + 40 * i) + end for i, end in enumerate(("alfa beta", "beta gamma", "delta"))]
+    texts = ["alfa", "beta", *long, "alfa", None, "gamma gamma", "", "beta delta"]
+    spark.createDataFrame([(i, x, f"d{i}") for i, x in enumerate(texts)], "pos long, texto string, doc_id string").write.parquet(f"{tmp_path}/normativa.parquet")
+    asked = [("alfa beta", "d2"), ("beta gamma", "d3"), ("relleno2 delta", "d4"), (" ", "d6")]
+    spark.createDataFrame(asked, "query string, doc_id_relevante string").write.parquet(f"{tmp_path}/eval_set.parquet")
+    con = duckdb.connect()
+    for name in ("normativa", "eval_set"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = ["estrategia", "recall", "precision", "rr", "ndcg", "consultas"]
+    got = sorted(tuple(r) for r in catalog.queries()["eval_by_strategy"](spark, str(tmp_path)).select(*columns).collect())
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    assert got == sorted(con.sql(f"SELECT {quoted} FROM ({catalog.oracle_sql()['eval_by_strategy']})").fetchall())
+    assert {r[0]: r[3] for r in got}["hybrid_0.7_rerank"] == 0.75  # three of four at the first place, the blank query finds none
+
+
 LAW = "TÍTULO I\nCAPÍTULO II De algo\nArtículo 1. " + "Texto del primer artículo con bastante cuerpo. " * 4 + "\nCapítulo III\nArtículo 2.- " + "Otro cuerpo de artículo que sigue aquí. " * 60
 
 
